@@ -11,6 +11,7 @@ from .common import SPACE, WORD, let, written
 
 #: A window of a repeat, in words.
 WINDOW = 5
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals", "n_exclaims")
 #: Scores in thousandths, each high in bad documents, by name.
 RULES = ("symbols", "dup_lines", "repeats", "long_words", "short_words", "capitals", "exclaims")
 #: Quantiles of the tuning half's good documents that are tried as cutoffs.
@@ -46,31 +47,42 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) >= WINDOW, found).otherwise(F.lit(0)).cast("long")
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """docs with the counts n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_capitals, n_exclaims (null text: 0)."""
-    text = F.coalesce("text", F.lit(""))
+def counts(text: Column) -> Column:
+    """Struct of COUNTS of a text (null: 0); words and lines are split once."""
+    text = F.coalesce(text, F.lit(""))
     without = lambda chars: F.char_length(F.translate(text, chars, ""))
-    added = docs.withColumns({"_words": F.filter(F.split(text, SPACE + "+"), lambda w: w != ""), "_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))})
-    counts = {
-        "n_words": F.size("_words"),
-        "word_chars": without(" \t\n\x0b\f\r"),
-        "n_symbols": F.char_length(text) - without("#*$%&|<>"),
-        "n_lines": F.size("_lines"),
-        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
-        "n_repeat_words": repeat_words(F.col("_words")),
-        "n_capitals": F.char_length(text) - without("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-        "n_exclaims": F.char_length(text) - without("!"),
-    }
-    return added.withColumns({k: v.cast("long") for k, v in counts.items()}).drop("_words", "_lines")
+
+    def of(words: Column, lines: Column) -> Column:
+        each = {
+            "n_words": F.size(words),
+            "word_chars": without(" \t\n\x0b\f\r"),
+            "n_symbols": F.char_length(text) - without("#*$%&|<>"),
+            "n_lines": F.size(lines),
+            "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+            "n_repeat_words": repeat_words(words),
+            "n_capitals": F.char_length(text) - without("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+            "n_exclaims": F.char_length(text) - without("!"),
+        }
+        return F.struct(*[each[k].cast("long").alias(k) for k in COUNTS])
+
+    words = F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
+    return let(words, lambda w: let(lines, lambda x: of(w, x)))
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """docs (text and others) with COUNTS instead of text."""
+    return docs.withColumn("_counts", counts(F.col("text"))).drop("text").select("*", "_counts.*").drop("_counts")
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+def base_failed(c=F.col) -> Column:
+    """c gives a count by its name: a column's, or a struct's field."""
+    return (c("n_words") < 10) | (100 * c("n_repeat_words") > 20 * c("n_words"))
 
 
-def scores() -> Column:
+def scores(c=F.col) -> Column:
     """One array of the RULES' scores, from the counts."""
-    per = lambda a, b: F.floor(1000 * F.col(a) / F.greatest(F.col(b), F.lit(1)))
+    per = lambda a, b: F.floor(1000 * c(a) / F.greatest(c(b), F.lit(1)))
     mean = per("word_chars", "n_words")
     return F.array(per("n_symbols", "n_words"), per("n_dup_lines", "n_lines"), per("n_repeat_words", "n_words"), mean, -mean, per("n_capitals", "word_chars"), per("n_exclaims", "n_words"))
 
@@ -134,34 +146,33 @@ def fit(counted: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float
     return out
 
 
-def kept(cutoffs: dict[str, dict[str, int]]) -> Column:
+def kept(cutoffs: dict[str, dict[str, int]], c=F.col) -> Column:
     """The verdict: false if the base rules fail, else whether no score is above its stratum's cutoff."""
 
-    def none_above(rules: dict[str, int]) -> Column:
-        return reduce(lambda a, b: a & b, [F.get(F.col("_scores"), F.lit(RULES.index(r))) <= c for r, c in sorted(rules.items())], F.lit(True))
-
-    verdict = none_above(cutoffs[POOLED])
-    for lang in sorted(set(cutoffs) - {POOLED}):
-        verdict = F.when(F.col("lang") == lang, none_above(cutoffs[lang])).otherwise(verdict)
-    return ~base_failed() & verdict
-
+    def verdict(found: Column) -> Column:
+        none_above = lambda rules: reduce(lambda a, b: a & b, [found[RULES.index(r)] <= x for r, x in sorted(rules.items())], F.lit(True))
+        out = none_above(cutoffs[POOLED])
+        for lang in sorted(set(cutoffs) - {POOLED}):
+            out = F.when(F.col("lang") == lang, none_above(cutoffs[lang])).otherwise(out)
+        return out
 
-def judge(counted: DataFrame, cutoffs: dict[str, dict[str, int]]) -> DataFrame:
-    """counted (of features()) with base_failed and kept."""
-    return counted.withColumn("_scores", scores()).withColumns({"base_failed": base_failed(), "kept": kept(cutoffs)}).drop("_scores")
+    return ~base_failed(c) & let(scores(c), verdict)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """Per row of docs (doc_id, text, lang): doc_id, the counts, base_failed, kept.
+    """Per row of docs (doc_id, text, lang): doc_id, COUNTS, base_failed, kept.
 
     Null texts count as empty ones and fail the base rules, null languages go by the pooled cutoffs, repeated rows are
     judged alike, empty tables of documents or labels give no rows or no cutoffs. Other columns of docs are not read.
     """
-    counted = written(features(docs.select("doc_id", "text", "lang")).drop("text"))
-    return judge(counted, fit(counted, labels.select("doc_id", "quality"), **options)).drop("lang")
+    counted = written(features(docs.select("doc_id", "text", "lang")))
+    cutoffs = fit(counted, labels.select("doc_id", "quality"), **options)
+    return counted.select("doc_id", *COUNTS, base_failed().alias("base_failed"), kept(cutoffs).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that are kept, all their columns unchanged. Texts are counted twice rather than written with their counts."""
-    counted = written(features(docs.select("doc_id", "text", "lang")).drop("text"))
-    return judge(features(docs), fit(counted, labels.select("doc_id", "quality"), **options)).filter("kept").select(*docs.columns)
+    counted = written(features(docs.select("doc_id", "text", "lang")))
+    cutoffs = fit(counted, labels.select("doc_id", "quality"), **options)
+    # Bound, the counts are one expression, however often the verdict uses them and wherever the filter is pushed.
+    return docs.filter(let(counts(F.col("text")), lambda c: kept(cutoffs, lambda name: c[name])))
