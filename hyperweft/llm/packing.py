@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import sys
+import types
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -10,8 +14,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-#: Words whose ids a worker remembers; the memory is emptied when it is full.
-CACHED_WORDS = 300_000
+#: Words whose ids a worker remembers: the first ones it meets, among them the frequent ones.
+CACHED_WORDS = 800_000
 #: Documents that are packed together. A group's remainder is cut into powers of two, so its size only sets how many short sequences there are.
 GROUP_DOCS = 4096
 GROUP_TOKENS = 4_000_000
@@ -20,22 +24,63 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class WordCache(dict):
-    """Ids (uint32 bytes) by word. White space separates tokens in this tokenizer family, so a text's ids are its words' ids in order."""
+    """Ids (uint32 bytes) by lower-cased word. White space separates tokens in this tokenizer family, so a text's ids are its words' ids in order.
+
+    A word of letters is one unit for the tokenizer's merges. These are applied by tiktoken's byte-pair coder, which is
+    faster on one word: an end byte marks the word's end, the merges' order gives the ranks. All else, and a text that may
+    hold special tokens, goes to the tokenizer itself.
+    """
+
+    END = b"\xff"  # in no UTF-8 text
+    TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # not the apostrophe, which starts contractions
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        model = json.loads(self.tokenizer.to_str())["model"]
+        vocab, suffix = model["vocab"], model["end_of_word_suffix"]
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in a byte-level vocabulary
+        char = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in plain)}
+        byte = {c: b for b, c in char.items()}
+        coded = lambda x: bytes(byte[c] for c in x.removesuffix(suffix)) + self.END * x.endswith(suffix)
+        pieces = [(bytes([b]), char[b]) for b in range(256)] + [(bytes([b]) + self.END, char[b] + suffix) for b in range(255)]
+        pieces += [(coded(x), x) for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["merges"]) for x in [a + b]]
+        pieces = list(dict(pieces).items())
+        self.id_of_rank = np.array([vocab.get(x, 0) for _, x in pieces], dtype="<u4")
+        ranks = {x: i for i, (x, _) in enumerate(pieces)}
+        self.coder = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+
+    @classmethod
+    def here(cls, path: str) -> WordCache:
+        """This process's cache for a vocabulary, which outlives the task: Python workers run many."""
+        held = sys.modules.setdefault("_word_caches", types.ModuleType("_word_caches")).__dict__
+        if path not in held:
+            held[path] = cls(path)
+        return held[path]
 
     def ids(self, text: str) -> bytes:
-        words = text.encode().split()  # at ASCII white space only, as on bytes; the tokenizer itself drops it
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        if new := [w for w in dict.fromkeys(words) if w not in self]:
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(self.__getitem__, words))
+        data = text.encode()
+        if b"<|" in data:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return b"".join(map(self.__getitem__, data.lower().split()))  # at ASCII white space, as on bytes
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        stem = text.rstrip(self.TAIL)
+        if len(stem) < len(text) and stem.isalpha():
+            out = self[stem.encode()] + self[text[len(stem) :].encode()]
+        else:
+            plain = text if word.isalpha() else "".join(c.lower() for c in unicodedata.normalize("NFC", text))
+            if text.isalpha() and plain.isalpha():
+                out = self.id_of_rank[self.coder.encode_single_piece(plain.encode() + self.END)].tobytes()
+            else:
+                out = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if len(self) < CACHED_WORDS:
+            self[word] = out
+        return out
 
 
 def cost(lengths, linear: float, quadratic: float):
@@ -96,7 +141,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
         raise ValueError("capacity must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, base = WordCache(tokenizer), TaskContext.get().partitionId() << 40
+        cache, base = WordCache.here(tokenizer), TaskContext.get().partitionId() << 40
         end = np.array([end_id], dtype="<u4").tobytes()
         doc_ids, streams, held = [], [], 0
 
