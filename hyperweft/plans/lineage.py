@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="hyperweft-"))
+    return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df checkpointed to spark.checkpoint.dir; a local temporary folder is set only where that is unset (tests)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="hyperweft-"))
+    shared_path(df.sparkSession)
     return df.checkpoint(eager=True)
