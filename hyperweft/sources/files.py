@@ -22,7 +22,7 @@ def read_hyperedges(spark: SparkSession, path: str, sep: str = ",", weighted: bo
     starts = starts.withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
     nth = F.row_number().over(Window.partitionBy("part").orderBy("line")) - 1
     edges = lines.withColumn("part", part).withColumn("nth", nth).join(F.broadcast(starts), "part").withColumn("edge_id", (F.col("nth") + F.col("before")).cast("long"))
-    tokens = F.transform(F.split("value", re.escape(sep)), F.trim)
+    tokens = F.transform(F.split("value", re.escape(sep)), lambda x: F.trim(x))
     edges = edges.select("edge_id", tokens.alias("tokens"))
     last = F.element_at("tokens", -1)
     weights = edges.select("edge_id", (last.cast("long") if weighted else F.lit(1).cast("long")).alias("weight"))
