@@ -71,8 +71,8 @@ def search(tree: dict[str, np.ndarray], qids: np.ndarray, queries: np.ndarray, k
     level = np.array([0])
     parent = np.full((n, 1), np.inf)
     while len(level):
-        b = np.minimum(parent, queries @ tree["centre"][level].T + length[:, None] * tree["radius"][level])
-        b = b + margin * (1 + np.abs(b))
+        b = queries @ tree["centre"][level].T + length[:, None] * tree["radius"][level]
+        b = np.minimum(parent, b + margin * (1 + np.abs(b)))
         bound[:, level] = np.where(b >= reach[:, None], b, -np.inf)
         inner = [i for i, x in enumerate(level) if tree["child"][x] and (bound[:, x] > -np.inf).any()]
         parent = np.repeat(bound[:, level[inner]], 2, axis=1)

@@ -10,10 +10,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import shared_folder, written
 
 #: Bytes of an archive that one reading task owns.
 RANGE = 16 << 20
@@ -78,12 +78,19 @@ def write(pages: DataFrame, path: str, least: int = 0) -> None:
     line separator. Payloads are joined with the few digests that occur twice, so copies meet there in one row.
     """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
-    rows = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("digest"), F.monotonically_increasing_id().alias("row"))
-    first = F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "row")).alias("first")
-    copied = rows.filter(F.octet_length("payload") >= least).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), first).filter("n > 1")
-    rows = rows.join(copied.select("digest", "first"), "digest", "left")
-    revisit = F.coalesce(F.col("first.row") != F.col("row"), F.lit(False))
-    rows = rows.select("page_id", "url", "payload", "digest", revisit.alias("revisit"), F.col("first.page_id").alias("refers_to"))
+    rows = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("digest"))
+    each = rows.filter(F.octet_length("payload") >= least).groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "n")).alias("first")
+    copied = written(each.groupBy("digest").agg(F.sum("n").alias("rows"), first).filter("rows > 1").select("digest", "first"))
+    rows = rows.join(copied, "digest", "left")
+    is_first = F.col("first").isNull() | F.col("page_id").eqNullSafe(F.col("first.page_id"))
+    shape = lambda df, revisit: df.select("page_id", "url", "payload", "digest", revisit.alias("revisit"), F.col("first.page_id").alias("refers_to"))
+    if copied.filter("first.n > 1").isEmpty():
+        rows = shape(rows, ~is_first)
+    else:  # of rows that repeat the smallest page_id, one is the response
+        tie = is_first & F.coalesce(F.col("first.n") > 1, F.lit(False))
+        nth = F.row_number().over(Window.partitionBy("digest").orderBy("url"))
+        rows = shape(rows.filter(~tie), ~is_first).union(shape(rows.filter(tie).withColumn("nth", nth), F.col("nth") > 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
