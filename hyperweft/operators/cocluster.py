@@ -98,7 +98,10 @@ def merge_within(blocks: DataFrame, groups: DataFrame, block_cost: Callable[[flo
                             break
         return pd.DataFrame({"cc": list(home), "new_cc": list(home.values())})
 
-    return blocks.join(groups, "cc").groupBy("group").applyInPandas(run, "cc long, new_cc long")
+    # Groups that are too small to merge don't go to Python.
+    large = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(2, min_size)).select("group")
+    merged = cut(blocks.join(groups.join(large, "group"), "cc").groupBy("group").applyInPandas(run, "cc long, new_cc long"))
+    return blocks.select("cc").distinct().join(merged, "cc", "left").select("cc", F.coalesce("new_cc", "cc").alias("new_cc"))
 
 
 def costs(kind: str, inc: DataFrame, nodes: DataFrame, edges: DataFrame) -> float:

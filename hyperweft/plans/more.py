@@ -10,19 +10,19 @@ from ..operators import cocluster, influence, metrics, relational, seeds, summar
 from ..sources import files, tables
 from . import runners
 from .lineage import shared_path
-from .queries import BLOCKS, MIXED, ORDER, SMALL, TEMPLATE, _corrections, mixed, query, small
+from .queries import BLOCKS, MIXED, ORDER, TEMPLATE, _corrections, mixed, query
 
 # Measures
 
 
 @query(
-    f"""with {SMALL}, sh as (select a.v, b.v u, count(*) s from inc a join inc b using (e) group by 1, 2), q as (select e, count(*) q from inc group by 1), n as (select v, count(*) n from inc group by 1),
+    f"""with {ORDER}, sh as (select a.v, b.v u, count(*) s from inc a join inc b using (e) group by 1, 2), q as (select e, count(*) q from inc group by 1), n as (select v, count(*) n from inc group by 1),
 dot as (select a.e, a.v, sum(s) d from inc a join inc b using (e) join sh on sh.v = a.v and sh.u = b.v group by 1, 2), ss as (select e, sum(d) s from dot group by 1),
 x as (select e, q, case when q > 1 then greatest((q * q * n - 2 * q * d + s)::double / ((q - 1) * (q - 1)), 0) else 0 end dist from dot join q using (e) join n using (v) join ss using (e))
 select e edge_id, round(case when q > 1 then sum(exp(-dist / 4.0)) / (q - 1) else 1 end, 6) "value" from x group by e, q"""
 )
 def hyperedge_weight_eq9(spark, folder):
-    w = metrics.hyperedge_weights(metrics.edge_distances(small(spark, folder)), 4.0)
+    w = metrics.hyperedge_weights(metrics.edge_distances(tables.order_incidence(spark, folder)), 4.0)
     return w.select("edge_id", F.round("weight", 6).alias("value"))
 
 
@@ -30,9 +30,9 @@ def _tens(inc: DataFrame) -> DataFrame:
     return inc.select("node_id").distinct().withColumn("rc", F.col("node_id") % 10)
 
 
-@query(f"with {SMALL}, c as (select e, v % 10 rc, count(*) n from inc group by 1, 2), r as (select *, row_number() over (partition by e order by n desc, rc) k from c) select e edge_id, rc \"value\" from r where k = 1")
+@query(f"with {ORDER}, c as (select e, v % 10 rc, count(*) n from inc group by 1, 2), r as (select *, row_number() over (partition by e order by n desc, rc) k from c) select e edge_id, rc \"value\" from r where k = 1")
 def column_dominant_label(spark, folder):
-    inc = small(spark, folder)
+    inc = tables.order_incidence(spark, folder)
     return metrics.dominant_label(inc, _tens(inc)).withColumnRenamed("label", "value")
 
 
@@ -98,21 +98,21 @@ COST = "case when 2 * ({z}) >= ({s}) then 1 + ({s}) - ({z}) else ({z}) end"
 
 
 @query(
-    f"""with {BLOCKS}, d as (select cc from ny where cc < 7), p as (select a.cc c1, b.cc c2 from d a join d b on a.cc < b.cc),
+    f"""with {BLOCKS}, p as (select a.cc c1, b.cc c2 from ny a join ny b on a.cc < b.cc),
 r as (select p.*, y1.ny y1, y2.ny y2, nx.rc, nx.nx, coalesce(b1.dnz, 0) z1, coalesce(b2.dnz, 0) z2 from p join ny y1 on y1.cc = c1 join ny y2 on y2.cc = c2 cross join nx left join b b1 on b1.cc = c1 and b1.rc = nx.rc left join b b2 on b2.cc = c2 and b2.rc = nx.rc)
 select c1, c2, cast(sum({COST.format(z='z1 + z2', s='nx * (y1 + y2)')} - case when z1 > 0 then {COST.format(z='z1', s='nx * y1')} else 0 end - case when z2 > 0 then {COST.format(z='z2', s='nx * y2')} else 0 end) - 1 as bigint) delta
 from r where z1 + z2 > 0 group by 1, 2"""
 )
 def merge_delta_cost(spark, folder):
     _, _, edges, blocks = mixed(spark, folder)
-    days = edges.select("cc").distinct().filter("cc < 7")
-    pairs = days.select(F.col("cc").alias("c1")).join(days.select(F.col("cc").alias("c2")), F.col("c1") < F.col("c2"))
+    every = edges.select("cc").distinct()
+    pairs = every.select(F.col("cc").alias("c1")).join(every.select(F.col("cc").alias("c2")), F.col("c1") < F.col("c2"))
     return metrics.merge_deltas(blocks, edges, pairs)
 
 
-@query(f"with {SMALL}, c as (select e, v % 10 rc, count(*) s from inc group by 1, 2), q as (select e, count(*) q from inc group by 1) select v node_id, cast(sum(q - s) as bigint) cost from inc join c on c.e = inc.e and c.rc = v % 10 join q on q.e = inc.e group by 1")
+@query(f"with {ORDER}, c as (select e, v % 10 rc, count(*) s from inc group by 1, 2), q as (select e, count(*) q from inc group by 1) select v node_id, cast(sum(q - s) as bigint) cost from inc join c on c.e = inc.e and c.rc = v % 10 join q on q.e = inc.e group by 1")
 def gahgc_objective(spark, folder):
-    inc = small(spark, folder)
+    inc = tables.order_incidence(spark, folder)
     return metrics.homogeneity_cost(inc, _tens(inc))
 
 
@@ -151,7 +151,7 @@ def knn_hypergraph(spark, folder):
 
 
 def _lt_sql(threshold: float, hops: int) -> str:
-    out = [SMALL, "q as (select e, count(*) q from inc group by 1)", "a0 as (select distinct v, 0 hop from inc order by v limit 3)", "n0 as (select v from a0)", "f0 as (select e from inc where false)"]
+    out = [ORDER, "q as (select e, count(*) q from inc group by 1)", "a0 as (select distinct v, 0 hop from inc order by v limit 3)", "n0 as (select v from a0)", "f0 as (select e from inc where false)"]
     for k in range(1, hops + 1):
         out += [
             f"f{k} as materialized (select e from f{k - 1} union select e from (select distinct e from inc where v in (select v from n{k - 1}) and e not in (select e from f{k - 1})) join inc using (e) join q using (e) where v in (select v from a{k - 1}) group by e, q having count(*) / q >= {threshold})",
@@ -167,12 +167,12 @@ def _first_nodes(inc: DataFrame, k: int = 3) -> DataFrame:
 
 @query(_lt_sql(0.2, 5))
 def im_lt(spark, folder):
-    inc = small(spark, folder)
+    inc = tables.order_incidence(spark, folder)
     return influence.linear_threshold(inc, _first_nodes(inc), 0.2, 5)
 
 
 def _hdd_sql(k: int) -> str:
-    out = [SMALL, "l as (select distinct a.v s, b.v d from inc a join inc b on a.e = b.e and a.v <> b.v)", "d0 as (select v, count(d) d from (select distinct v from inc) left join l on s = v group by 1)", "p0 as (select v, 0 o from inc where false)"]
+    out = [ORDER, "l as (select distinct a.v s, b.v d from inc a join inc b on a.e = b.e and a.v <> b.v)", "d0 as (select v, count(d) d from (select distinct v from inc) left join l on s = v group by 1)", "p0 as (select v, 0 o from inc where false)"]
     for i in range(1, k + 1):
         out += [
             f"t{i} as materialized (select v, {i - 1} o from d{i - 1} where v not in (select v from p{i - 1}) order by d desc, v limit 1)",
@@ -185,7 +185,7 @@ def _hdd_sql(k: int) -> str:
 
 @query(_hdd_sql(5))
 def hdd_seeds(spark, folder):
-    return influence.high_degree_discount(small(spark, folder), 5)
+    return influence.high_degree_discount(tables.order_incidence(spark, folder), 5)
 
 
 def _points(inc: DataFrame) -> DataFrame:
@@ -195,31 +195,31 @@ def _points(inc: DataFrame) -> DataFrame:
     return influence.fitness(c, n, most)
 
 
-POINTS = f"""{SMALL}, dg as (select a.v, count(distinct b.v) - 1 m from inc a join inc b using (e) group by 1), hd as (select v, count(*) s from inc group by 1),
+POINTS = f"""{ORDER}, dg as (select a.v, count(distinct b.v) - 1 m from inc a join inc b using (e) group by 1), hd as (select v, count(*) s from inc group by 1),
 pt as (select v id, round(m / (select count(*) from hd), 6) f1, round(((select max(s) from hd) + 1 - s) / (select max(s) from hd), 6) f2 from dg join hd using (v))"""
 
 
-@query(f"with {SMALL}, q as (select e, count(*) q from inc group by 1) select round(avg(q), 6) mean, round(stddev_pop(q), 6) std, cast(sum(q * (q - 1)) as bigint) attempts from q")
+@query(f"with {ORDER}, q as (select e, count(*) q from inc group by 1) select round(avg(q), 6) mean, round(stddev_pop(q), 6) std, cast(sum(q * (q - 1)) as bigint) attempts from q")
 def im_mc_stats(spark, folder):
-    q = small(spark, folder).groupBy(F.col("edge_id").alias("sim")).agg(F.count(F.lit(1)).alias("infected"))
+    q = tables.order_incidence(spark, folder).groupBy(F.col("edge_id").alias("sim")).agg(F.count(F.lit(1)).alias("infected"))
     return influence.simulation_stats(q.withColumn("attempts", F.col("infected") * (F.col("infected") - 1)))
 
 
 @query(f"with {POINTS} select id, f1, f2 from pt")
 def im_fitness(spark, folder):
-    return _points(small(spark, folder))
+    return _points(tables.order_incidence(spark, folder))
 
 
 @query(f"with {POINTS} select id, f1, f2 from pt p where not exists (select 1 from pt q where q.f1 >= p.f1 and q.f2 >= p.f2 and (q.f1 > p.f1 or q.f2 > p.f2))")
 def pareto_front(spark, folder):
-    return influence.pareto_front(_points(small(spark, folder)))
+    return influence.pareto_front(_points(tables.order_incidence(spark, folder)))
 
 
 @query(
     f"""with {POINTS}, b as (select f1, max(f2) f2 from pt group by 1), s as (select f1, max(f2) over (order by f1 desc rows unbounded preceding) h, coalesce(lead(f1) over (order by f1 desc), 0) nx from b) select round(sum((f1 - nx) * h), 6) hypervolume from s"""
 )
 def hypervolume(spark, folder):
-    return influence.hypervolume(_points(small(spark, folder)))
+    return influence.hypervolume(_points(tables.order_incidence(spark, folder)))
 
 
 @query(
@@ -232,19 +232,19 @@ def node_order_stats(spark, folder):
 
 @query()
 def im_sicp(spark, folder):
-    inc = small(spark, folder)
+    inc = tables.order_incidence(spark, folder)
     return influence.simulation_stats(influence.contact_process(inc, _first_nodes(inc), 20, 4, 0.2, 0.6))
 
 
 @query()
 def im_wc(spark, folder):
-    inc = small(spark, folder)
+    inc = tables.order_incidence(spark, folder)
     return influence.simulation_stats(influence.weighted_cascade(inc, _first_nodes(inc), 20, 4))
 
 
 @query()
 def im_search(spark, folder):
-    return seeds.search(small(spark, folder), most=4, population=4, offspring=4, generations=1, sims=4, hops=2)
+    return seeds.search(tables.order_incidence(spark, folder), most=4, population=4, offspring=4, generations=1, sims=4, hops=2)
 
 
 @query(
@@ -262,7 +262,7 @@ def upscale_seeds(spark, folder):
 
 @query()
 def lsh_minhash_groups(spark, folder):
-    return cocluster.minhash_groups(small(spark, folder), 2)
+    return cocluster.minhash_groups(tables.order_incidence(spark, folder), 2)
 
 
 @query()
@@ -291,32 +291,32 @@ HOLDS = "select true nodes_once, true edges_once, true counts_add_up, true lossl
 
 @query(HOLDS + ", true cost_falls")
 def hydra_invariants(spark, folder):
-    inc = small(spark, folder)
+    inc = tables.order_incidence(spark, folder)
     nodes, edges, costs = cocluster.search(inc, "hydra", max_rounds=1)
     return _invariants(inc, nodes, edges).withColumn("cost_falls", F.lit(costs == sorted(costs, reverse=True)))
 
 
 @query(HOLDS + ", true cost_falls")
 def coclus_invariants(spark, folder):
-    inc = small(spark, folder)
+    inc = tables.mixed_incidence(spark, folder)
     nodes, edges, costs = cocluster.search(inc, "mdl", max_rounds=1)
     return _invariants(inc, nodes, edges).withColumn("cost_falls", F.lit(costs == sorted(costs, reverse=True)))
 
 
-@query(f"with {SMALL}, n as (select count(distinct v) n from inc) select cast(k as bigint) label, case when k < 7 then n // 8 else n - 7 * (n // 8) end n from n, range(8) t(k)")
+@query(f"with {ORDER}, n as (select count(distinct v) n from inc) select cast(k as bigint) label, case when k < 7 then n // 8 else n - 7 * (n // 8) end n from n, range(8) t(k)")
 def random_clusters_equal(spark, folder):
-    return cocluster.random_clusters(small(spark, folder), "node_id", 8).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return cocluster.random_clusters(tables.order_incidence(spark, folder), "node_id", 8).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(HOLDS)
 def gahgc_invariants(spark, folder):
-    inc = small(spark, folder)
+    inc = tables.mixed_incidence(spark, folder)
     return _invariants(inc, *cocluster.gahgc(inc, 6, n_walks=2, length=4))
 
 
 @query(HOLDS + ", true objective_falls")
 def dhcc_invariants(spark, folder):
-    inc = small(spark, folder)
+    inc = tables.mixed_incidence(spark, folder)
     nodes, edges, objective = cocluster.dhcc(inc, 4, 3, iterations=3)
     falls = all(a >= b - 1e-6 for a, b in zip(objective, objective[1:], strict=False))
     return _invariants(inc, nodes, edges).withColumn("objective_falls", F.lit(falls))
@@ -400,6 +400,6 @@ def scalability_inputs(spark, folder):
 
 @query("select cast(1 as bigint) candidates, true status_ok")
 def summarize_grid(spark, folder):
-    inc = small(spark, folder)
-    g = runners.grid({"small": inc}, {"random": {"k": 4, "l": 4}}, [0])
+    inc = tables.mixed_incidence(spark, folder)
+    g = runners.grid({"mixed": inc}, {"random": {"k": 4, "l": 4}}, [0])
     return g.agg(F.count(F.lit(1)).alias("candidates"), (F.min("status") == "ok").alias("status_ok"))

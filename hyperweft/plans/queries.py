@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import rank, relational, summary, traverse
@@ -15,8 +15,6 @@ SQL: dict[str, str] = {}
 
 #: The mappings as SQL: incidence inc(e, v), weights ew(e, w), clusters nc(v, rc) and ecl(e, cc), blocks b.
 ORDER = "inc as (select distinct l_orderkey e, l_partkey v from lineitem)"
-SMALL = "inc as (select distinct l_orderkey e, l_partkey v from lineitem where l_orderkey < 200)"
-SMALL_W = SMALL + ", ew as (select l_orderkey e, cast(sum(l_quantity) as bigint) w from lineitem where l_orderkey < 200 group by 1)"
 ORDER_W = ORDER + ", ew as (select l_orderkey e, cast(sum(l_quantity) as bigint) w from lineitem group by 1)"
 MIXED = """ev as (select user_id u, date_diff('day', date_trunc('day', min(ts) over ()), date_trunc('day', ts)) d, dense_rank() over (order by event_type) - 1 r from events),
 inc as (select distinct u v, d e from ev union select distinct u, 1000 + 5 * d + r from ev),
@@ -40,14 +38,6 @@ def query(sql: str | None = None):
     return add
 
 
-def small(spark: SparkSession, folder: str) -> DataFrame:
-    return tables.order_incidence(spark, folder, below=200)
-
-
-def small_weights(spark: SparkSession, folder: str) -> DataFrame:
-    return tables.order_weights(spark, folder, below=200)
-
-
 def mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """incidence, node clusters, edge clusters, blocks"""
     inc = tables.mixed_incidence(spark, folder)
@@ -68,29 +58,29 @@ def incidence_mult(spark, folder):
     return relational.with_multiplicity(tables.table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("edge_id"), F.col("l_partkey").alias("node_id")))
 
 
-@query(f"with {SMALL} select e id, string_agg(cast(v as varchar), ',' order by v) members, count(*) size from inc group by 1")
+@query(f"with {ORDER} select e id, string_agg(cast(v as varchar), ',' order by v) members, count(*) size from inc group by 1")
 def hyperedge_lists(spark, folder):
-    return relational.hyperedge_lists(small(spark, folder))
+    return relational.hyperedge_lists(tables.order_incidence(spark, folder))
 
 
-@query(f"with {SMALL} select v id, string_agg(cast(e as varchar), ',' order by e) members, count(*) size from inc group by 1")
+@query(f"with {ORDER} select v id, string_agg(cast(e as varchar), ',' order by e) members, count(*) size from inc group by 1")
 def node_incidence_lists(spark, folder):
-    return relational.node_incidence_lists(small(spark, folder))
+    return relational.node_incidence_lists(tables.order_incidence(spark, folder))
 
 
-@query(f"with {SMALL} select a.v src, b.v dst, count(*) w from inc a join inc b on a.e = b.e and a.v < b.v group by 1, 2")
+@query(f"with {ORDER} select a.v src, b.v dst, count(*) w from inc a join inc b on a.e = b.e and a.v < b.v group by 1, 2")
 def clique_projection(spark, folder):
-    return relational.clique_projection(small(spark, folder))
+    return relational.clique_projection(tables.order_incidence(spark, folder))
 
 
-@query(f"with {SMALL} select v src, (select count(distinct v) from inc) + e dst, cast(1 as bigint) w from inc")
+@query(f"with {ORDER} select v src, (select count(distinct v) from inc) + e dst, cast(1 as bigint) w from inc")
 def bipartite_projection(spark, folder):
-    return relational.bipartite_projection(small(spark, folder))
+    return relational.bipartite_projection(tables.order_incidence(spark, folder))
 
 
-@query(f"with {SMALL} select distinct a.e e1, b.e e2 from inc a join inc b on a.v = b.v and a.e < b.e")
+@query(f"with {ORDER} select distinct a.e e1, b.e e2 from inc a join inc b on a.v = b.v and a.e < b.e")
 def line_graph(spark, folder):
-    return relational.line_graph(small(spark, folder))
+    return relational.line_graph(tables.order_incidence(spark, folder))
 
 
 @query(
@@ -117,9 +107,9 @@ def degree(spark, folder):
     return relational.degree(tables.order_incidence(spark, folder))
 
 
-@query(f"with {SMALL_W}, l as (select e, string_agg(cast(v as varchar), ',' order by v) members from inc group by 1) select members, cast(sum(w) as bigint) weight, count(*) copies from l join ew using (e) group by 1")
+@query(f"with {ORDER_W}, l as (select e, string_agg(cast(v as varchar), ',' order by v) members from inc group by 1) select members, cast(sum(w) as bigint) weight, count(*) copies from l join ew using (e) group by 1")
 def hyperedge_dedup_weighted(spark, folder):
-    return relational.dedup_weighted(small(spark, folder), small_weights(spark, folder))
+    return relational.dedup_weighted(tables.order_incidence(spark, folder), tables.order_weights(spark, folder))
 
 
 @query(
@@ -274,14 +264,29 @@ def edge_clusters_from_summary(spark, folder):
 
 # Searches
 
-SOURCES = "src as (select distinct v from inc where v < 40)"
+#: Query sets are samples, as of sample_nodes: of nodes, and of pairs (the nth nodes of two samples).
+SAMPLE = 100
+SAMPLED = "select v from (select distinct v from inc) order by ((v + {seed}) * 2654435761) % 4294967296, v limit " + str(SAMPLE)
+SOURCES = f"src as ({SAMPLED.format(seed=0)})"
+PAIRS = "pairs as (select a.v a, b.v b from " + " join ".join(f"(select v, row_number() over (order by ((v + {i}) * 2654435761) % 4294967296, v) k from (select distinct v from {{inc}})) {x}" for i, x in ((0, "a"), (1, "b"))) + f" using (k) where k <= {SAMPLE})"
 
 
 def _sources(inc: DataFrame) -> DataFrame:
-    return inc.select("node_id").distinct().filter("node_id < 40")
+    return relational.sample_nodes(inc, SAMPLE)
+
+
+def _pairs(inc: DataFrame) -> DataFrame:
+    """(a, b): the nth nodes of two samples."""
+
+    def numbered(seed: int, name: str) -> DataFrame:
+        h = relational.scrambled(F.col("node_id"), seed)
+        some = relational.sample_nodes(inc, SAMPLE, seed)
+        return some.select(F.col("node_id").alias(name), F.row_number().over(Window.orderBy(h, "node_id")).alias("k"))
+
+    return numbered(0, "a").join(numbered(1, "b"), "k").select("a", "b")
 
 
-def _bfs_sql(inc: str, sources: str, steps: int = 30) -> str:
+def _bfs_sql(inc: str, sources: str, steps: int = 8) -> str:
     """A frontier per step, and what no step before has seen: d(s, v, d)."""
     out = [inc, sources, "s0 as (select v s, v, 0 d from src)", "a0 as (select * from s0)"]
     for k in range(1, steps + 1):
@@ -290,26 +295,20 @@ def _bfs_sql(inc: str, sources: str, steps: int = 30) -> str:
     return "with " + ", ".join(x.replace(" as (", " as materialized (", 1) if x[0] in "as" and x[1].isdigit() else x for x in out) + f", dist as (select * from a{steps})"
 
 
-SMALL_BFS = _bfs_sql(SMALL, SOURCES)
+ORDER_BFS = _bfs_sql(ORDER, SOURCES)
 SUPERINC = BLOCKS + ", sinc as (select cc e, rc v from b where sel)"
 
 
-@query(f"{SMALL_BFS} select s src, v node, cast(d as bigint) dist from dist")
+@query(f"{ORDER_BFS} select s src, v node, cast(d as bigint) dist from dist")
 def bfs_distances(spark, folder):
-    inc = small(spark, folder)
+    inc = tables.order_incidence(spark, folder)
     return traverse.bfs(inc, _sources(inc))
 
 
-def _pairs(spark, nodes: DataFrame) -> DataFrame:
-    """(a, b): each source with the nodes of the same last digit, itself included; fixed by the ids."""
-    a = nodes.filter("node_id < 40").select(F.col("node_id").alias("a"))
-    return a.join(nodes.select(F.col("node_id").alias("b")), F.col("a") % 10 == F.col("b") % 10)
-
-
-@query(f"{SMALL_BFS} select a.v a, b.v b, cast(coalesce(d, -1) as bigint) dist from src a join (select distinct v from inc) b on a.v % 10 = b.v % 10 left join dist on s = a.v and dist.v = b.v")
+@query(f"{ORDER_BFS}, {PAIRS.format(inc='inc')} select a, b, cast(case when a = b then 0 else coalesce(d, -1) end as bigint) dist from pairs left join dist on s = a and v = b")
 def reachability(spark, folder):
-    inc = small(spark, folder)
-    return traverse.reachability(inc, _pairs(spark, inc.select("node_id").distinct()))
+    inc = tables.order_incidence(spark, folder)
+    return traverse.reachability(inc, _pairs(inc))
 
 
 def _super(spark, folder) -> tuple[DataFrame, DataFrame]:
@@ -321,29 +320,28 @@ def _super(spark, folder) -> tuple[DataFrame, DataFrame]:
 SUPER_BFS = _bfs_sql(SUPERINC.replace("inc as (select distinct u v", "inc0 as (select distinct u v").replace("from inc)", "from inc0)").replace("from inc join nc", "from inc0 join nc") + ", inc as (select e, v from sinc)", "src as (select distinct rc v from nc)", 6)
 
 
-@query(f"{SUPER_BFS}, p as (select a.v a, b.v b, a.rc sa, b.rc sb from nc a join nc b on a.v < 40 and a.v % 10 = (b.v + 1) % 10) select a, b, cast(case when sa = sb then 0 else coalesce(d, -1) end as bigint) dist from p left join dist on s = sa and dist.v = sb")
+@query(f"{SUPER_BFS}, {PAIRS.format(inc='nc')}, p as (select a, b, x.rc sa, y.rc sb from pairs join nc x on x.v = a join nc y on y.v = b) select a, b, cast(case when sa = sb then 0 else coalesce(d, -1) end as bigint) dist from p left join dist on s = sa and dist.v = sb")
 def reachability_summary(spark, folder):
     superinc, nodes = _super(spark, folder)
-    a, b = nodes.filter("node_id < 40").select(F.col("node_id").alias("a")), nodes.select(F.col("node_id").alias("b"))
-    return traverse.reachability_in_summary(superinc, nodes, a.join(b, F.col("a") % 10 == (F.col("b") + 1) % 10))
+    return traverse.reachability_in_summary(superinc, nodes, _pairs(nodes))
 
 
 def _khop(k: int):
     def run(spark, folder):
-        inc = small(spark, folder)
+        inc = tables.order_incidence(spark, folder)
         return traverse.khop(inc, _sources(inc), k).withColumn("k", F.lit(k).cast("long"))
 
     run.__name__ = f"khop_{k}"
-    return query(f"{SMALL_BFS} select s src, v neigh, cast({k} as bigint) k from dist where d between 1 and {k}")(run)
+    return query(f"{ORDER_BFS} select s src, v neigh, cast({k} as bigint) k from dist where d between 1 and {k}")(run)
 
 
 def _khop_summary(k: int):
     def run(spark, folder):
         superinc, nodes = _super(spark, folder)
-        return traverse.khop_in_summary(superinc, nodes, nodes.filter("node_id < 40").select("node_id"), k).withColumn("k", F.lit(k).cast("long"))
+        return traverse.khop_in_summary(superinc, nodes, nodes.select("node_id"), k).withColumn("k", F.lit(k).cast("long"))
 
     run.__name__ = f"khop_summary_{k}"
-    return query(f"{SUPER_BFS} select a.v src, b.v neigh, cast({k} as bigint) k from nc a join dist on s = a.rc join nc b on b.rc = dist.v where a.v < 40 and d between 1 and {k}")(run)
+    return query(f"{SUPER_BFS} select a.v src, b.v neigh, cast({k} as bigint) k from nc a join dist on s = a.rc join nc b on b.rc = dist.v where d between 1 and {k}")(run)
 
 
 for _k in (2, 3, 4):
@@ -351,11 +349,16 @@ for _k in (2, 3, 4):
     _khop_summary(_k)
 
 
-@query(
-    f"with recursive {SMALL}, reach(s, v) as (select distinct v, v from inc union select s, i.v from reach join inc o on o.v = reach.v join inc i on i.e = o.e) select v node_id, min(s) comp from reach group by 1"
-)
+def _labels_sql(inc: str, steps: int = 12) -> str:
+    out = [inc, "c0 as (select distinct v, v c from inc)"]
+    for k in range(1, steps + 1):
+        out.append(f"c{k} as materialized (select v, min(m) c from inc join (select e, min(c) m from inc join c{k - 1} using (v) group by 1) using (e) group by 1)")
+    return "with " + ", ".join(out) + f" select v node_id, c comp from c{steps}"
+
+
+@query(_labels_sql(ORDER))
 def connected_components(spark, folder):
-    return traverse.connected_components(small(spark, folder))
+    return traverse.connected_components(tables.order_incidence(spark, folder))
 
 
 @query(f"with recursive {SUPERINC}, reach(s, v) as (select distinct rc, rc from nc union select s, i.v from reach join sinc o on o.v = reach.v join sinc i on i.e = o.e) select v node_id, min(s) comp from reach group by 1")
@@ -367,9 +370,9 @@ def connected_components_summary(spark, folder):
 CLOSE = "select {0} node_id, cast(sum(d) as bigint) dist_sum, count(*) - 1 reached, case when sum(d) > 0 then round(({1} - 1) / sum(d), 6) else 0.0 end closeness from {2} group by 1"
 
 
-@query(f"{SMALL_BFS} " + CLOSE.format("s", "(select count(distinct v) from inc)", "dist"))
+@query(f"{ORDER_BFS} " + CLOSE.format("s", "(select count(distinct v) from inc)", "dist"))
 def closeness(spark, folder):
-    inc = small(spark, folder)
+    inc = tables.order_incidence(spark, folder)
     return traverse.closeness(inc, _sources(inc), inc.select("node_id").distinct().count())
 
 
@@ -392,14 +395,14 @@ def _pagerank_sql(graph: str, nodes: str, iterations: int = 10, damping: float =
     return "with " + ", ".join(out)
 
 
-GRAPH = SMALL + ", c as (select a.v src, b.v dst, count(*) w from inc a join inc b on a.e = b.e and a.v < b.v group by 1, 2), g as (select * from c union all select dst, src, w from c)"
+GRAPH = ORDER + ", c as (select a.v src, b.v dst, count(*) w from inc a join inc b on a.e = b.e and a.v < b.v group by 1, 2), g as (select * from c union all select dst, src, w from c)"
 SUPER_GRAPH = SUPERINC + ", c as (select a.v src, b.v dst, cast(sum(ny) as bigint) w from sinc a join sinc b on a.e = b.e and a.v < b.v join ny on ny.cc = a.e group by 1, 2), g as (select * from c union all select dst, src, w from c)"
-BIPARTITE = SMALL + ", g as (select v src, (select count(distinct v) from inc) * 0 + 1000000000 + e dst, 1 w from inc)"
+BIPARTITE = ORDER + ", g as (select v src, (select count(distinct v) from inc) * 0 + 1000000000 + e dst, 1 w from inc)"
 
 
 @query(_pagerank_sql(GRAPH, "select distinct v from inc") + " select v node_id, round(r, 6) rank from r10")
 def pagerank_graph(spark, folder):
-    inc = small(spark, folder)
+    inc = tables.order_incidence(spark, folder)
     return rank.graph_pagerank(relational.clique_projection(inc), inc.select("node_id").distinct(), 10).withColumn("rank", F.round("rank", 6))
 
 
@@ -415,14 +418,14 @@ def pagerank_graph_summary(spark, folder):
 
 @query(_pagerank_sql(BIPARTITE, "select distinct src v from g union select distinct dst from g") + " select v node_id, round(r, 6) rank from r10 where v < 1000000000")
 def pagerank_bipartite(spark, folder):
-    inc = small(spark, folder)
+    inc = tables.order_incidence(spark, folder)
     shifted = inc.select((F.col("edge_id") + 1000000000).alias("edge_id"), "node_id")  # apart from the nodes
     edges = shifted.select(F.col("node_id").alias("src"), F.col("edge_id").alias("dst"), F.lit(1).alias("w"))
     return rank.bipartite_pagerank(edges, 10).withColumn("rank", F.round("rank", 6))
 
 
 def _diffusion_sql(steps: int = 3, teleport: float = 0.15) -> str:
-    out = [SMALL_W, "m as (select e, v, w, sum(w) over (partition by v) wd from inc join ew using (e))", "st as (select min(v) s from inc)", "x0 as (select s v, 1.0::double x from st)", "act0 as (select distinct e from m, st where v = s)"]
+    out = [ORDER_W, "m as (select e, v, w, sum(w) over (partition by v) wd from inc join ew using (e))", "st as (select min(v) s from inc)", "x0 as (select s v, 1.0::double x from st)", "act0 as (select distinct e from m, st where v = s)"]
     for k in range(1, steps + 1):
         p = k - 1
         out += [
@@ -438,6 +441,6 @@ def _diffusion_sql(steps: int = 3, teleport: float = 0.15) -> str:
 
 @query(_diffusion_sql())
 def pagerank_hypergraph(spark, folder):
-    inc = small(spark, folder)
+    inc = tables.order_incidence(spark, folder)
     start = inc.agg(F.min("node_id")).first()[0]
-    return rank.diffusion(inc, small_weights(spark, folder), start, 3).withColumn("x", F.round("x", 6))
+    return rank.diffusion(inc, tables.order_weights(spark, folder), start, 3).withColumn("x", F.round("x", 6))

@@ -10,20 +10,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def order_incidence(spark: SparkSession, folder: str, below: int | None = None) -> DataFrame:
-    """Parts as nodes, orders as hyperedges; below: only orders of a smaller key."""
-    lines = table(spark, folder, "lineitem")
-    if below is not None:
-        lines = lines.filter(F.col("l_orderkey") < below)
-    return lines.select(F.col("l_orderkey").alias("edge_id"), F.col("l_partkey").alias("node_id")).distinct()
+def order_incidence(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts as nodes, orders as hyperedges."""
+    return table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("edge_id"), F.col("l_partkey").alias("node_id")).distinct()
 
 
-def order_weights(spark: SparkSession, folder: str, below: int | None = None) -> DataFrame:
+def order_weights(spark: SparkSession, folder: str) -> DataFrame:
     """(edge_id, weight): an order's quantity."""
-    lines = table(spark, folder, "lineitem")
-    if below is not None:
-        lines = lines.filter(F.col("l_orderkey") < below)
-    return lines.groupBy(F.col("l_orderkey").alias("edge_id")).agg(F.sum("l_quantity").cast("long").alias("weight"))
+    return table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("edge_id")).agg(F.sum("l_quantity").cast("long").alias("weight"))
 
 
 def mixed_incidence(spark: SparkSession, folder: str) -> DataFrame:
