@@ -22,10 +22,13 @@ COUNTERS, CHUNK = 1 << 21, 1 << 16
 FAN_IN = 64
 #: Slots of the filter that keeps texts off the verification which are in no candidate pair; it may let others pass.
 SLOTS = 1 << 24
+#: Sets that are compared with one in a task.
+MEMBERS = 64
 #: Most shared tokens that a prefix asks for, and the cost of a verification in scanned postings.
 MOST_MATCHES, VERIFY_COST = 6, 25.0
-#: Rounds that link documents to others of a shared token, before all pairs of what is still apart are compared.
-ROUNDS = 3
+#: Rounds at most that link documents to others of a shared token, before all pairs of what is still apart are compared;
+#: and the pairs per posting below which there is no need for another round. The result doesn't depend on either.
+ROUNDS, FEW_PAIRS = 6, 4
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -147,9 +150,17 @@ def classes(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
 
 
 def verify(pairs: DataFrame, docs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) of cids those whose sets are similar, by their whole sets; these are made again from the texts, for the documents concerned only."""
-    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    concerned = written(ids.join(known.select("cid", "rep", "digest"), "cid"))
+    """Of pairs (a, b) of cids those whose sets are similar, by their whole sets.
+
+    Compressed texts travel, which are smaller than sets: each a's to its b, in parts of about MEMBERS a's, to which b's
+    text comes as well. Texts of documents that no pair concerns are passed over by a filter of SLOTS slots.
+    """
+    many = pairs.groupBy(F.col("b").alias("lead")).agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("salts"))
+    wanted = pairs.select("a", F.col("b").alias("lead")).join(many, "lead")
+    wanted = wanted.select("lead", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"), F.col("a").alias("cid"), F.lit(False).alias("first"))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))
+    wanted = wanted.union(many.select("lead", each.alias("salt"), F.col("lead").alias("cid"), F.lit(True).alias("first")))
+    concerned = written(wanted.join(known.select("cid", "rep", "digest"), "cid"))
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,36 +173,40 @@ def verify(pairs: DataFrame, docs: DataFrame, known: DataFrame, percent: int) ->
         all_bits = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), dtype=np.uint8) for x in pdf["bits"]])
         return pd.DataFrame({"part": pdf["up"].iloc[:1], "bits": [zlib.compress(all_bits.tobytes(), 1)]})
 
-    parts = concerned.select(slot(F.col("rep")).alias("slot")).mapInArrow(bits, "part long, bits binary")
+    parts = concerned.select(slot(F.col("rep")).alias("slot")).distinct().mapInArrow(bits, "part long, bits binary")
     parts = parts.withColumn("up", F.floor(F.col("part") / FAN_IN)).groupBy("up").applyInPandas(union, "part long, bits binary")
     mask = np.zeros(SLOTS // 8, dtype=np.uint8)
     for x in parts.toLocalIterator():
         mask |= np.frombuffer(zlib.decompress(x["bits"]), dtype=np.uint8)
     held = docs.sparkSession.sparkContext.broadcast(mask)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = batch.column(0).to_numpy()
             take = np.flatnonzero(held.value[s >> 3] >> (7 - (s & 7)) & 1)
-            found = [x for i in take if len(x := shingles(batch.column(1)[int(i)].as_py()))]
-            yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], names=["digest", "tokens"])
+            found = [t for i in take if (t := batch.column(1)[int(i)].as_py())]
+            yield pa.RecordBatch.from_arrays([pa.array([digest(shingles(t)) for t in found], pa.binary()), pa.array([zlib.compress(t.encode(), 1) for t in found], pa.binary())], names=["digest", "text"])
 
-    made = docs.select(slot(F.col("doc_id")).alias("slot"), "text").mapInArrow(sets, "digest binary, tokens binary")
-    # Copies of a set are the same row.
-    made = written(made.join(concerned.select("cid", "digest"), "digest").dropDuplicates(["cid"]).select("cid", "tokens"))
-    side = lambda c: made.select(F.col("cid").alias(c), F.col("tokens").alias(f"{c}_tokens"))
+    made = docs.select(slot(F.col("doc_id")).alias("slot"), "text").mapInArrow(texts, "digest binary, text binary")
+    made = made.groupBy("digest").agg(F.first("text").alias("text"))  # copies and repeated rows are one, before the shuffle
+    met = made.join(concerned.drop("rep"), "digest").select("lead", "salt", "first", "cid", "text")
+    met = met.repartition("lead", "salt").sortWithinPartitions("lead", "salt", F.desc("first"))
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = np.empty(0, dtype=np.uint64)  # the set of the part at hand; its row comes first
         for batch in batches:
-            a, b, x, y = (batch.column(i) for i in range(4))
-            keep = []
-            for i in range(batch.num_rows):
-                u, v = (np.frombuffer(z[i].as_buffer(), dtype=np.uint64) for z in (x, y))
-                shared = len(np.intersect1d(u, v, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(u) + len(v) - shared))
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            out = []
+            for lead, first, cid, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
+                x = shingles(zlib.decompress(text.as_py()).decode())
+                if first:
+                    mine = x
+                else:
+                    shared = len(np.intersect1d(x, mine, assume_unique=True))
+                    if 100 * shared >= percent * (len(x) + len(mine) - shared):
+                        out.append((cid, lead))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
-    return written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_tokens", "b_tokens").mapInArrow(similar, "a long, b long"))
+    return written(met.mapInArrow(similar, "a long, b long"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -224,33 +239,45 @@ def link(docs: DataFrame, percent: int = 80) -> DataFrame:
     postings = known.select("cid", F.explode("tokens").alias("token"))
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("lead")).filter("n > 1").select("token", "lead")
     postings = written(postings.join(shared, "token"))
-    roots = None  # (node, root) of classes that are linked
-    links = None
+    sizes = known.select("cid", "n", "matches", F.size("tokens").alias("p"))
+    of = lambda side: sizes.select(*[F.col(c).alias(c if c == "cid" else f"{c}_{side}") for c in ("cid", "n", "matches", "p")]).withColumnRenamed("cid", side)
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b, shared) those that may be similar. Tokens in order, what two sets share beyond the prefix that
+        ends first is no more than the rest of that set, so shared prefix tokens and the larger rest bound the overlap."""
+        pairs = pairs.join(of("a"), "a").join(of("b"), "b")
+        need = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+        rest = F.greatest(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
+        return pairs.filter((F.col("shared") >= F.least("matches_a", "matches_b")) & (F.col("shared") + rest >= need)).select("a", "b")
+
+    roots = links = None  # links (a, b) between classes; (node, root) of those in links
     for i in range(ROUNDS):
         # Each class is compared with one other, of another component: the lead (at first the class of the most common
         # tokens, then any) that it shares most tokens with.
-        here = _rooted(postings.drop("root"), roots)
+        here = _rooted(postings, roots)
         if i:
+            split = here.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count(F.lit(1)).alias("roots"))
+            todo = split.filter("roots > 1").agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
+            if (todo["pairs"] or 0) <= FEW_PAIRS * (todo["rows"] or 0):
+                break
             any_one = F.min(F.struct(F.xxhash64("cid", F.lit(i)).alias("h"), F.col("cid").alias("lead"), F.col("root").alias("lead_root"))).alias("x")
             leads = here.groupBy("token").agg(any_one, F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token", "x.lead", "x.lead_root")
             here = here.drop("lead").join(leads, "token").filter("root <> lead_root")
         tried = here.filter("cid <> lead").groupBy("cid", "lead").agg(F.count(F.lit(1)).alias("n")).groupBy("cid").agg(F.max(F.struct("n", "lead")).alias("x"))
-        tried = tried.join(known.select("cid", "n"), "cid").filter(F.col("x.n") * 50 >= F.col("n")).select(F.col("cid").alias("a"), F.col("x.lead").alias("b"))
-        tried = written(tried)
+        tried = written(plausible(tried.select(F.col("cid").alias("a"), F.col("x.lead").alias("b"), F.col("x.n").alias("shared"))))
         if tried.isEmpty():
             continue
         found = verify(tried, docs, known, percent)
         links = found if links is None else links.union(found)
         roots = components(links) if not links.isEmpty() else None
-    # What is left: all pairs of classes in different components that share as many tokens as their prefixes ask for.
+    # What is left: all pairs of classes in different components, by the tokens that their prefixes share.
     here = _rooted(postings.drop("lead"), roots)
     apart = here.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
-    left = written(here.join(apart, "token").join(known.select("cid", "n", "matches"), "cid"))
-    one, two = (left.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "root", "n", "matches")]) for s in "ab")
+    left = written(here.join(apart, "token").join(sizes.select("cid", "n"), "cid"))
+    one, two = (left.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "root", "n")]) for s in "ab")
     fits = (F.col("cid_a") < F.col("cid_b")) & (F.col("root_a") != F.col("root_b")) & (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
-    least = F.least("matches_a", "matches_b")
-    pairs = one.join(two, "token").filter(fits).groupBy(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first(least).alias("least"))
-    pairs = written(pairs.filter("n >= least").select("a", "b"))
+    pairs = one.join(two, "token").filter(fits).groupBy(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    pairs = written(plausible(pairs))
     if not pairs.isEmpty():
         found = verify(pairs, docs, known, percent)
         links = found if links is None else links.union(found)
