@@ -59,7 +59,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     """Draws a mix of docs (doc_id, text, source): each row of docs with what the mix takes of it.
 
     Adds size (words; null: 0), source_size, target, taken (words taken, repeats counted), draws (array, one for each
-    time that the document is drawn: output shard, words from its start) and place (its order within its shards). Sources
+    time that the document is drawn: output shard, place in that shard's order, words from its start) and place (its own
+    hash, by which its block is cut). The splitting tree gives the shards; a draw's place is hashed from place and the
+    round, so that each shard is shuffled and repeats of a document lie apart. Sources
     keep rounded targets exactly: whole rounds over the source, then disjoint blocks in a permuted order, the last of
     which is cut at a document and that document at a word. No document is drawn more than `most` times. The order of
     blocks, shards and documents is hashed from source, doc_id and text, so reruns agree on any partitioning; equal rows
@@ -75,7 +77,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     so_far = F.sum("size").over(Window.partitionBy("_source", "_block").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     out = sized.withColumn("_before", so_far - F.col("size")).join(plan, ["_source", "_block"])
     partly = F.greatest(F.lit(0), F.least("size", F.col("extra") - F.col("_before")))
-    draws = F.transform("homes", lambda h: F.struct(h["shard"].alias("shard"), F.when(h["round"] < F.col("rounds"), F.col("size")).otherwise(F.col("_partly")).alias("words")))
+    draws = F.transform("homes", lambda h: F.struct(h["shard"].alias("shard"), F.xxhash64("place", h["round"], F.lit(seed + 3)).alias("place"), F.when(h["round"] < F.col("rounds"), F.col("size")).otherwise(F.col("_partly")).alias("words")))
     out = out.withColumn("_partly", partly).withColumns({"taken": (F.col("rounds") * F.col("size") + F.col("_partly")).cast("long"), "draws": F.filter(draws, lambda x: x["words"] > 0)})
     return out.select(*docs.columns, "size", "source_size", "target", "taken", "draws", "place")
 
@@ -110,11 +112,14 @@ def _draw(blocks: DataFrame, weights: tuple[float, ...], share: float, most: int
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: a row of docs' columns for each draw; a document that is drawn in part has its first words, single spaces between them."""
+    """The mix itself: a row of docs' columns for each draw; a document that is drawn in part has its first words, single spaces between them.
+
+    Rows are laid out by output shard and, within it, by place: ranges of both, so that no task holds a whole shard.
+    """
     m = mix(docs, **options).withColumn("_draw", F.explode("draws"))
     words = F.filter(F.split("text", SPACE + "+"), lambda w: w != "")
     text = F.when(F.col("_draw.words") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("_draw.words").cast("int")), " ")).otherwise(F.col("text"))
     m = m.withColumn("text", text)
     if "n_chars" in docs.columns:
         m = m.withColumn("n_chars", F.char_length("text").cast("long"))
-    return m.select(*docs.columns)
+    return m.orderBy("_draw.shard", "_draw.place").select(*docs.columns)

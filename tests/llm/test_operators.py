@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hyperweft.llm import html_extract, mixing, ngram_join, packing, quality, secret_scan, sharding, topk, url_rules, warc
+from hyperweft.llm import html_extract, mixing, ngram_join, packing, quality, queries, secret_scan, sharding, topk, url_rules, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, key string"
@@ -165,6 +165,18 @@ def test_mixing(docs, none):
     assert mixed.columns == docs.columns and sum(len(words(r["text"])) for r in mixed.select("text").collect()) == sum(r["taken"] for r in rows)
 
 
+def test_mix_is_laid_out_by_the_tree(spark, tmp_path):
+    """The query gives shard and place of each draw, the splitting tree is on its path, and the mix lies in that order."""
+    docs = spark.createDataFrame([(i, f"w{i} x y", f"s{i % 3}") for i in range(300)], "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    query = queries.op4_mixing(spark, str(tmp_path))
+    assert "FlatMapGroupsInPandas" in query._jdf.queryExecution().optimizedPlan().toString()
+    draws = [(d["shard"], d["place"], r["doc_id"], d["words"]) for r in query.collect() for d in r["draws"]]
+    assert {d[0] for d in draws} == set(range(32)) and len({d[1] for d in draws}) == len(draws)
+    mixed = [(r["doc_id"], len(words(r["text"]))) for r in mixing.mixed_documents(docs).collect()]
+    assert mixed == [d[2:] for d in sorted(draws)]
+
+
 def test_splitting_tree():
     got = mixing.split_blocks(np.array([10, 0, 33, 5]), 5, np.random.default_rng(1))
     assert got.sum(axis=0).tolist() == [10, 0, 33, 5] and got.sum(axis=1).max() - got.sum(axis=1).min() <= 3
