@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,11 +101,14 @@ def log_binomial_cdf(k: Column, n: Column, p: float) -> Column:
 
 
 def _ln(x: float) -> float:
-    from math import log
-
     return log(x)
 
 
+def least_tests(own: int, alpha: float, delta: float) -> int:
+    """Good documents in the test half from which on a candidate that rejects none passes, with `own` strata beside the pool."""
+    return ceil(_ln(delta / (len(QUANTILES) * len(RULES) * (own + 1))) / _ln(1 - alpha / len(RULES)))
+
+
 def fit(counted: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05, min_good: int = 4000, seed: int = 11) -> dict[str, dict[str, int]]:
     """Cutoffs by stratum (lang, or POOLED) and rule: a document whose score is above is rejected.
 
@@ -113,16 +117,20 @@ def fit(counted: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float
     labelled documents; the other half tests each by the exact binomial bound (Clopper-Pearson), at a level of delta
     divided by the number of all candidates (Bonferroni) and alpha by that of the rules. Of the candidates that pass, the
     one that rejects most bad documents of the tuning half is taken, each good one counting as ten; a rule that then
-    rejects no bad ones is left out. Languages with fewer than min_good labelled good documents, and null, are pooled.
+    rejects no bad ones is left out. Languages with fewer than min_good labelled good documents are pooled, as are null and
+    those whose test half is too small for any candidate to pass; a pool that is too small itself gets no cutoffs.
     All labels are used; repeated labels of a doc_id count once, as the lowest. What is collected is a row per stratum
     and rule: at most (MAX_STRATA + 1) * len(RULES).
     """
     quality = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("good"))
     known = counted.filter(~base_failed()).select("doc_id", "lang", F.posexplode(scores()).alias("rule", "score")).join(quality, "doc_id")
     known = known.withColumn("tune", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2)) == 0)
-    own = known.filter("rule = 0 and good = 1 and lang is not null").groupBy("lang").count().filter(F.col("count") >= min_good)
-    own = own.orderBy(F.desc("count"), "lang").limit(MAX_STRATA)
-    known = known.join(F.broadcast(own.select("lang", F.col("lang").alias("own"))), "lang", "left").withColumn("stratum", F.coalesce("own", F.lit(POOLED)))
+    halves = known.filter("rule = 0 and good = 1 and lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("tune"), 1)).alias("tests"))
+    large = halves.filter(F.col("n") >= min_good).orderBy(F.desc("tests"), "lang").limit(MAX_STRATA).collect()
+    # The more strata, the more good documents a test needs: as many languages as can pass among themselves.
+    own = [x["lang"] for x in large[: max((m for m, x in enumerate(large, 1) if x["tests"] >= least_tests(m, alpha, delta)), default=0)]]
+    known = known.withColumn("own", F.when(F.col("lang").isin(own), F.col("lang")))
+    known = known.withColumn("stratum", F.coalesce("own", F.lit(POOLED)))
     # Counts by score bound what follows: the scores are whole thousandths.
     is_good = F.col("good") == 1
     hist = written(
@@ -135,12 +143,12 @@ def fit(counted: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float
     # A quantile's cutoff is the first score that keeps as many of the good ones.
     c = c.withColumn("q", F.explode(F.array(*[F.lit(q) for q in QUANTILES]))).filter((F.col("tune_good_all") > 0) & (F.col("tune_good_kept") >= F.ceil(F.col("q") * F.col("tune_good_all"))))
     c = c.groupBy("stratum", "rule", "q").agg(F.min_by(F.struct("score", *[f"{x}_{y}" for x in names for y in ("kept", "all")]), "score").alias("c")).select("stratum", "rule", "c.*").distinct()
-    tests = len(QUANTILES) * len(RULES) * (own.count() + 1)
+    tests = len(QUANTILES) * len(RULES) * (len(own) + 1)
     k, n, a = F.col("test_good_all") - F.col("test_good_kept"), F.col("test_good_all"), alpha / len(RULES)
     passed = F.when(k < n * a, log_binomial_cdf(k, n, a) <= _ln(delta / tests)).otherwise(False)
     gain = (F.col("tune_bad_all") - F.col("tune_bad_kept")) - 10 * (F.col("tune_good_all") - F.col("tune_good_kept"))
     best = c.withColumn("gain", gain).filter(passed & (F.col("gain") > 0)).groupBy("stratum", "rule").agg(F.max(F.struct("gain", "score")).alias("best"))
-    out: dict[str, dict[str, int]] = {x["lang"]: {} for x in own.collect()} | {POOLED: {}}
+    out: dict[str, dict[str, int]] = {x: {} for x in own} | {POOLED: {}}
     for x in best.collect():
         out[x["stratum"]][RULES[x["rule"]]] = x["best"]["score"]
     return out

@@ -138,6 +138,18 @@ def test_quality_cutoffs(spark):
     assert got == pytest.approx(log(sum(comb(40, j) * 0.1**j * 0.9 ** (40 - j) for j in range(4))))
 
 
+def test_quality_pools_what_cannot_pass(spark):
+    """By the default parameters: languages of 5,000 good documents can't pass alone and are pooled, one of 12,000 has cutoffs of its own."""
+    n = {"de": 5000, "fr": 5000, "en": 12000}
+    c = spark.createDataFrame([(lang, k) for lang, k in n.items()], "lang string, k int").select("lang", F.explode(F.sequence(F.lit(1), (1.1 * F.col("k")).cast("int"))).alias("i"), "k")
+    c = c.select(F.xxhash64("lang", "i").alias("doc_id"), "lang", (F.col("i") <= F.col("k")).cast("int").alias("quality"))
+    fixed = {"n_words": 100, "word_chars": 500, "n_lines": 10, "n_dup_lines": 0, "n_repeat_words": 0, "n_capitals": 5, "n_exclaims": 0}
+    counted = c.withColumns({k: F.lit(v).cast("long") for k, v in fixed.items()} | {"n_symbols": F.when(F.col("quality") == 1, 1).otherwise(50).cast("long")})
+    cut = quality.fit(counted, c.select("doc_id", "quality"))
+    assert cut.keys() == {"en", "*"} and cut["en"]["symbols"] == cut["*"]["symbols"] == 10
+    assert [quality.least_tests(m, 0.02, 0.05) for m in (1, 4, 64)] == [2650, 2970, 3867]
+
+
 def test_mixing(docs, none):
     rows = mixing.mix(docs, shards=4).select("doc_id", "source", "size", "source_size", "target", "taken", "text", "draws").collect()
     assert len(rows) == docs.count() and all(r["size"] == len(words(r["text"])) and r["taken"] <= 2 * r["size"] and r["taken"] == sum(d["words"] for d in r["draws"]) for r in rows)
