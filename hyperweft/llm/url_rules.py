@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +13,6 @@ from .common import written
 #: (verdict, host, path); a rule fits its host and all subdomains if the URL's path starts with its path.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 BLOCK = "=block"
-#: Mined rules that are kept, the most confident first; it bounds what is broadcast.
-MAX_RULES = 1000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -47,20 +47,41 @@ def url_tokens(url: Column) -> Column:
     return F.array_sort(F.array_compact(F.array(*made)))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.95, max_rules: int = MAX_RULES) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.95) -> DataFrame:
     """Rules (tokens, confidence, support) from labelled (tokens, verdict): token combinations that come with 'block'.
 
     All labelled URLs are mined. Rules below the least support or confidence are pruned, and those of which a part is a
-    rule that is at least as confident; of equal rules the most confident, best supported and shortest stay.
+    rule that is at least as confident; all others stay. Three facts spare the miner combinations that would be pruned: a
+    token too rare among blocked URLs is in no rule; one that is on blocked URLs only is a rule, and no wider one stays;
+    and of tokens that are on the same URLs no rule needs two, so one is mined for all and the rules are multiplied out.
     """
-    baskets = labelled.select(F.when(F.col("verdict") == "block", F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items")).filter(F.size("items") > 0)
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    urls = written(labelled.select(F.monotonically_increasing_id().alias("id"), "tokens", (F.col("verdict") == "block").alias("bad")))
+    n = urls.count()
+    least = max(1, ceil(min_support * n - 1e-9))
+    each = urls.select("id", "bad", F.explode(F.array_distinct("tokens")).alias("token"))
+    # Two 64-bit sums of hashes tell whether tokens are on the same URLs.
+    where = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
+    seen = each.groupBy("token").agg(F.count(F.lit(1)).alias("all"), F.count_if("bad").alias("n_bad"), *where).filter(F.col("n_bad") >= least)
+    alike = written(seen.groupBy("all", "n_bad", "x1", "x2").agg(F.min("token").alias("token"), F.collect_list("token").alias("members")))
+    share = lambda k: F.round(F.col(k) / n, 9).alias("support")
+    pure = alike.filter("all = n_bad").select(F.explode("members").alias("token"), F.lit(1.0).alias("confidence"), share("n_bad"))
+    pure = pure.select(F.array("token").alias("tokens"), "confidence", "support")
+    mixed = alike.filter("all > n_bad").select("token", "members")
+    items = each.join(F.broadcast(mixed.select("token")), "token").groupBy("id").agg(F.collect_list("token").alias("items"))
+    items = urls.join(items, "id", "left").select(F.concat(F.coalesce("items", F.array().cast("array<string>")), F.when(F.col("bad"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BLOCK)))
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), F.round("confidence", 9).alias("confidence"), F.round("support", 9).alias("support"))
-    rules = rules.orderBy(F.desc("confidence"), F.desc("support"), F.size("tokens"), F.array_join("tokens", " ")).limit(max_rules)
-    rules = written(rules)
-    wider = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("sure"))
-    return rules.join(F.broadcast(wider), (F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0) & (F.col("sure") >= F.col("confidence")), "left_anti")
+    rules = written(rules.select(F.array_sort("antecedent").alias("tokens"), F.round("confidence", 9).alias("confidence"), F.round("support", 9).alias("support")))
+    # A narrower rule is looked up by its first token, which the wider one has too.
+    wider = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("sure"), F.get("tokens", F.lit(0)).alias("token"))
+    fits = (F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0) & (F.col("sure") >= F.col("confidence"))
+    extra = rules.withColumn("token", F.explode("tokens")).join(wider, "token").filter(fits).select("tokens").distinct()
+    rules = rules.join(extra, "tokens", "left_anti")
+    known = F.broadcast(mixed.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("token", "members"))).alias("of")))
+    one = F.array(F.array().cast("array<string>"))
+    out = F.aggregate("tokens", one, lambda a, t: F.flatten(F.transform(a, lambda x: F.transform(F.element_at("of", t), lambda m: F.concat(x, F.array(m))))))
+    rules = rules.crossJoin(known).select(F.explode(out).alias("tokens"), "confidence", "support")
+    return written(pure.union(rules.select(F.array_sort("tokens").alias("tokens"), "confidence", "support")))
 
 
 def match(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
@@ -68,7 +89,7 @@ def match(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
     counts = token_sets.select(F.explode("tokens").alias("token")).groupBy("token").count()
     named = rules.withColumn("token", F.explode("tokens")).join(counts, "token", "left")
     rarest = named.groupBy("tokens", "confidence", "support").agg(F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token")).alias("token"))
-    index = F.broadcast(rarest.withColumnRenamed("tokens", "needs"))  # at most MAX_RULES rows
+    index = F.broadcast(rarest.withColumnRenamed("tokens", "needs"))  # the least support bounds the rules, not the corpus
     hits = token_sets.withColumn("token", F.explode("tokens")).join(index, "token").filter(F.size(F.array_except("needs", "tokens")) == 0)
     return hits.groupBy("tokens").agg(F.max(F.struct("confidence", "support", "needs")).alias("best"))
 

@@ -300,6 +300,37 @@ def test_mined_url_rules(spark):
     assert all((got[i]["verdict"] == "block") == (i % 4 == 0) for i in range(400)) and got[300]["mined"] == "first:casino"
 
 
+def test_all_mined_rules_stay(spark):
+    """60 bad hosts make more than a thousand equal rules before pruning; a host less bad than they are is still blocked."""
+    urls = [(f"http://a.bad{h}.org/{h}/x", 1) for h in range(60) for _ in range(12)] + [("http://a.half.net/q/x", int(i > 0)) for i in range(25)] + [(f"http://a.good{i}.net/p/x", 0) for i in range(255)]
+    rows = [(i, u, bad) for i, (u, bad) in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, bad int")
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judge_urls(pages, pages.select("page_id", "bad"), rules=()).collect()}
+    assert all((got[i] == "block") == ("bad" in u or "half" in u) for i, u, _ in rows)
+
+
+def test_rules_are_those_of_brute_force(spark):
+    """Of all token sets, those frequent and confident enough, without those that a part makes needless."""
+    from itertools import combinations
+
+    rng = random.Random(6)
+    rows = []
+    for _ in range(300):
+        t = {x for x in "abcde" if rng.random() < 0.5}
+        t |= {"f"} if "a" in t else set()
+        rows.append((sorted(t | {"g"}), "block" if {"a", "b"} <= t or {"c", "d", "e"} <= t and rng.random() < 0.97 or rng.random() < 0.02 else "allow"))
+    held = {}
+    for k in range(1, 8):
+        for s in combinations("abcdefg", k):
+            fits = [v for t, v in rows if set(s) <= set(t)]
+            bad = fits.count("block")
+            if bad >= 6 and bad >= 0.9 * len(fits):
+                held[s] = round(bad / len(fits), 9)
+    want = {(s, c) for s, c in held.items() if not any(set(p) < set(s) and held[p] >= c for p in held)}
+    got = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.02, 0.9).collect()
+    assert {(tuple(r["tokens"]), r["confidence"]) for r in got} == want and len(got) == len(want) and want
+
+
 def test_warc(spark, monkeypatch):
     monkeypatch.setattr(warc, "RANGE", 700)
     rng = random.Random(4)
