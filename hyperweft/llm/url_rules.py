@@ -31,20 +31,31 @@ def fixed_rule(rules: tuple = RULES) -> Column:
 
 
 def url_tokens(url: Column) -> Column:
-    """The tokens of a URL: of each kind one at most, so that there are few combinations to mine whatever the URL's length."""
+    """The tokens of a URL: its host, its domain and every label before it, every path segment, every query key and pair.
+
+    What holds digits is a token as it is and one with 0 for each number. The miner's least support bounds the combinations.
+    """
     host, path = F.col("host"), F.col("path")
+    zeros = lambda x: F.regexp_replace(x, r"\d+", "0")
     pick = lambda kind, value: F.when(value != "", F.concat(F.lit(kind + ":"), value))
+    all_of = lambda kind, values: F.transform(F.filter(values, lambda x: x != ""), lambda x: F.concat(F.lit(kind + ":"), x))
+    both = lambda kind, values: F.concat(all_of(kind, values), all_of(kind, F.transform(values, zeros)))
+    labels = F.split(host, r"\.")
+    first = F.regexp_extract(path, r"^/([^/]+)", 1)
+    pairs = F.split(F.coalesce(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), F.lit("")), "[&;]")
+    keys = F.transform(pairs, lambda x: F.regexp_extract(x, r"^([^=]*)", 1))
     made = [
         pick("top", F.regexp_extract(host, r"([^.]+)$", 1)),
         pick("domain", F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)),
         pick("host", host),
-        pick("name", F.regexp_extract(host, r"([^.]+)\.[^.]+\.[^.]+$", 1)),
-        pick("first", F.regexp_replace(F.regexp_extract(path, r"^/([^/]+)", 1), r"\d+", "0")),
+        pick("first", first),
+        pick("first", zeros(first)),
         pick("ending", F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1)),
         pick("depth", F.least(F.size(F.split(path, "/")), F.lit(9)).cast("string")),
-        pick("query", F.regexp_extract(url, r"\?([^=&#]+)", 1)),
     ]
-    return F.array_sort(F.array_compact(F.array(*made)))
+    # The labels before the domain; "any" is a segment wherever it is.
+    many = F.concat(both("name", F.slice(labels, 1, F.greatest(F.size(labels) - 2, F.lit(0)))), both("any", F.split(path, "/")), all_of("key", keys), both("pair", F.filter(pairs, lambda x: x.contains("="))))
+    return F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(*made)), many)))
 
 
 def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.95) -> DataFrame:

@@ -300,6 +300,19 @@ def test_mined_url_rules(spark):
     assert all((got[i]["verdict"] == "block") == (i % 4 == 0) for i in range(400)) and got[300]["mined"] == "first:casino"
 
 
+def test_url_patterns_anywhere_are_mined(spark):
+    """Bad: a later path segment, a file name, a later query key, a query value, a further label of the host."""
+    bad = ["http://h{0}.org/en/casino/{0}", "http://h{0}.org/en/x/win.php", "http://h{0}.org/en/{0}?a={0}&aff=z{0}", "http://h{0}.org/en/{0}?ref=spam7", "http://promo.cdn.h{0}.org/en/{0}"]
+    good = ["http://h{0}.org/en/news/{0}", "http://h{0}.org/en/x/a{0}.php", "http://h{0}.org/en/{0}?a={0}&b=z{0}", "http://h{0}.org/en/{0}?ref=mail7", "http://www.cdn.h{0}.org/en/{0}"]
+    rows = [(10 * i + j, u.format(i % 30), int(j < 5)) for i in range(60) for j, u in enumerate(bad + good)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, bad int")
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judge_urls(pages, pages.filter("page_id < 300").select("page_id", "bad"), rules=()).collect()}
+    assert all((got[i] == "block") == bool(b) for i, _, b in rows)
+    host, path = url_rules.host_and_path(F.col("url"))
+    tokens = spark.createDataFrame([("http://a.b.c.d.org/en/x7/f.html?k=1&l#?z",), (None,), ("no scheme",)], "url string").select("url", host.alias("host"), path.alias("path")).select(url_rules.url_tokens(F.col("url"))).collect()
+    assert {"name:a", "name:b", "name:c", "any:en", "any:x7", "any:x0", "any:f.html", "key:k", "key:l", "pair:k=1", "pair:k=0"} <= set(tokens[0][0]) and "key:z" not in tokens[0][0] and tokens[1][0] == tokens[2][0] == ["depth:1"]
+
+
 def test_all_mined_rules_stay(spark):
     """60 bad hosts make more than a thousand equal rules before pruning; a host less bad than they are is still blocked."""
     urls = [(f"http://a.bad{h}.org/{h}/x", 1) for h in range(60) for _ in range(12)] + [("http://a.half.net/q/x", int(i > 0)) for i in range(25)] + [(f"http://a.good{i}.net/p/x", 0) for i in range(255)]
