@@ -230,8 +230,11 @@ def components(links: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def link(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """Rows of docs (doc_id, text, key): doc_id, key, n_shingles, component_id and digest (of its set). See join()."""
+def link(docs: DataFrame, percent: int = 80, every: bool = False) -> DataFrame:
+    """Rows of docs (doc_id, text, key): doc_id, key, n_shingles, component_id and digest (of its set). See join().
+
+    With `every`, all pairs that share enough tokens are verified, not only those that may join components, and n_links follows.
+    """
     profiled = profile(docs.select("doc_id", "key", "text"))
     rows = profiled.filter("part is null").select("doc_id", "key", "digest", "n")
     counts = _sums(profiled.filter("part is not null").select("part", "chunk", "counts"))
@@ -253,7 +256,7 @@ def link(docs: DataFrame, percent: int = 80) -> DataFrame:
         return pairs.filter((F.col("shared") >= F.least("matches_a", "matches_b")) & (F.col("shared") + rest >= need)).select("a", "b")
 
     roots = links = None  # links (a, b) between classes; (node, root) of those in links
-    for i in range(ROUNDS):
+    for i in range(0 if every else ROUNDS):
         # Each class is compared with one other, of another component: the lead (at first the class of the most common
         # tokens, then any) that it shares most tokens with.
         here = _rooted(postings, roots)
@@ -272,7 +275,7 @@ def link(docs: DataFrame, percent: int = 80) -> DataFrame:
         found = verify(tried, docs, known, percent)
         links = found if links is None else links.union(found)
         roots = components(links) if not links.isEmpty() else None
-    # What is left: all pairs of classes in different components, by the tokens that their prefixes share.
+    # What is left: all pairs of classes in different components (without rounds, each is one), by the tokens that their prefixes share.
     here = _rooted(postings.drop("lead"), roots)
     apart = here.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
     left = written(here.join(apart, "token").join(sizes.select("cid", "n"), "cid"))
@@ -289,7 +292,25 @@ def link(docs: DataFrame, percent: int = 80) -> DataFrame:
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = named.join(smallest, "root").select("digest", "component_id")
     own = rows.filter("n = 0").withColumn("component_id", F.col("doc_id"))
-    return rows.filter("n > 0").join(named, "digest").select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id", "digest").union(own.select("doc_id", "key", "n", "component_id", "digest"))
+    columns = ["doc_id", "key", F.col("n").alias("n_shingles"), "component_id", "digest"]
+    if every:
+        named = named.join(_near(rows, known, links), "digest")
+        # All documents of its own set and of similar ones, but itself.
+        rows = rows.withColumn("self", F.col("doc_id").isNotNull().cast("long"))
+        own = own.withColumn("n_links", F.lit(0).cast("long"))
+        return rows.filter("n > 0").join(named, "digest").select(*columns, (F.col("near") - F.col("self")).alias("n_links")).union(own.select(*columns, "n_links"))
+    return rows.filter("n > 0").join(named, "digest").select(*columns).union(own.select(*columns))
+
+
+def _near(rows: DataFrame, known: DataFrame, links: DataFrame | None) -> DataFrame:
+    """(digest, near) of classes: the documents of a class and of those that links (a, b) join to it."""
+    sizes = rows.filter("n > 0").groupBy("digest").agg(F.count_distinct("doc_id").alias("docs"))
+    sizes = written(known.select("cid", "digest").join(sizes, "digest"))
+    ends = sizes.select("cid", "docs")
+    if links is not None:
+        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ends = ends.union(both.join(sizes.select(F.col("cid").alias("b"), "docs"), "b").select("a", "docs"))
+    return ends.groupBy("cid").agg(F.sum("docs").alias("near")).join(sizes, "cid").select("digest", "near")
 
 
 def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -300,7 +321,7 @@ def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def join(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_shingles (size of its set) and component_id (smallest doc_id that links reach).
+    """Per row of docs (doc_id, text): doc_id, n_shingles (size of its set), component_id (smallest doc_id that links reach), n_links (other documents that it links with).
 
     A document's set has its distinct word 5-grams, A-Z lower-cased; with fewer words, all of them as one. Two documents
     link when 100 * intersection >= percent * union. Null texts and those without words have empty sets and link with
@@ -308,8 +329,8 @@ def join(docs: DataFrame, percent: int = 80) -> DataFrame:
     passed over where there is another; repeated rows are of the same component; an empty table gives no rows. Other
     columns of docs are not read. N-grams are told apart by 64-bit hashes and sets by 128-bit ones.
     """
-    out = link(docs.select("doc_id", "text", F.lit(None).cast("binary").alias("key")), percent)
-    return out.select("doc_id", "n_shingles", "component_id")
+    out = link(docs.select("doc_id", "text", F.lit(None).cast("binary").alias("key")), percent, every=True)
+    return out.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:

@@ -239,6 +239,18 @@ def test_ngram_join(docs, none):
     assert kept == sorted(i for i in sets if not sets[i] or home[i] == i)
 
 
+def test_all_links_are_found(spark):
+    """Of a large group of near copies each pair is compared, whatever links join it already; equal texts are links too."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(base[: 200 - rng.randint(0, 60)])) for i in range(40)] + [(40 + i, " ".join(base[rng.randint(0, 60) :])) for i in range(40)] + [(80, "alone"), (81, ""), (82, None)]
+    got = {r["doc_id"]: r for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets, home = brute_components(rows)
+    links = {a: sum(a != b and bool(sets[a]) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for b in sets) for a in sets}
+    assert {i: (r["component_id"], r["n_links"]) for i, r in got.items()} == {i: (home[i], links[i]) for i in sets}
+    assert len({n for n in links.values()}) > 3
+
+
 def test_prefixes_share_matches():
     """Of similar sets, the prefixes share at least the lesser number of matches, and the bound on the overlap holds."""
     rng = np.random.default_rng(4)
