@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,12 +18,14 @@ _made: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's own folder below spark.checkpoint.dir; a local temporary one is set only where that is unset (tests)."""
+    """The session's own folder below spark.checkpoint.dir. Where that is unset, a local run (a test) gets a temporary one and a cluster an error."""
     sc = spark.sparkContext
     top = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not top:
         top = sc.getCheckpointDir()
     if not top:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="hyperweft-")
         sc.setCheckpointDir(top)
     folder = f"{top.rstrip('/')}/hyperweft-{sc.applicationId}"
@@ -52,6 +54,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """name, or name with a number, so that it is none of those taken, in any case."""
+    held = {x.lower() for x in taken}
+    return next(x for x in (name, *(f"{name}_{i}" for i in range(len(held) + 1))) if x not in held)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), evaluating value once: a one-element transform binds it."""
     return F.transform(F.array(value), body)[0]

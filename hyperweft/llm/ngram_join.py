@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 SHINGLE = 5
 #: Counters of the frequency sketch (a fixed size, whatever the corpus) and those in one chunk of it.
@@ -26,9 +27,11 @@ SLOTS = 1 << 24
 MEMBERS = 64
 #: Most shared tokens that a prefix asks for, and the cost of a verification in scanned postings.
 MOST_MATCHES, VERIFY_COST = 6, 25.0
-#: Rounds at most that link documents to others of a shared token, before all pairs of what is still apart are compared;
-#: and the pairs per posting below which there is no need for another round. The result doesn't depend on either.
+#: Rounds at most that look for homes, and the pairs per posting below which there is no need for another round. The
+#: result doesn't depend on either.
 ROUNDS, FEW_PAIRS = 3, 4
+#: Members of a home in a block, and distinct tokens that a task holds at once, as blocks are compared.
+BLOCK, COLUMNS = 512, 4096
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -126,7 +129,7 @@ def profile(docs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """A row per distinct non-empty set: cid, rep (smallest doc_id), digest, n, matches, tokens (prefix). cid is unique and falls with the score."""
+    """A row per distinct non-empty set: cid, rep (smallest doc_id), digest, n, matches, score, tokens (prefix, in order)."""
     sc = docs.sparkSession.sparkContext
     sketch, noise = sc.broadcast(counts.astype(np.int32 if counts.max(initial=0) < 2**31 else np.int64)), float(np.median(counts))
 
@@ -143,23 +146,25 @@ def classes(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
 
     rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, n long, matches int, score double, tokens array<long>")
     rows = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "matches", "score", "tokens")])
-    rare = F.greatest(F.lit(0), F.least(F.lit(4095), F.floor(4095 - 128 * F.col("score")))).cast("long")
-    # Partition numbers stay below 2**18, so that 12 bits of rarity fit above partition and row.
-    cid = F.shiftleft(rare, 51).bitwiseOR(F.monotonically_increasing_id())
-    return written(rows.select(cid.alias("cid"), "rep", "digest", "n", "matches", "tokens"))
+    return written(rows.select(F.monotonically_increasing_id().alias("cid"), "rep", "digest", "n", "matches", "score", "tokens"))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) of cids those whose sets are similar, by their whole sets.
+def verify(pairs: DataFrame, docs: DataFrame, known: DataFrame, percent: int, differences: bool = False) -> DataFrame:
+    """Of pairs (a, b, room) of cids those whose slack, by their whole sets, is -room at least: a, b, slack, size_a, size_b, shared, x.
 
-    Compressed texts travel, which are smaller than sets: each a's to its b, in parts of about MEMBERS a's, to which b's
-    text comes as well. Texts of documents that no pair concerns are passed over by a filter of SLOTS slots.
+    The slack of two sets is (100 + percent) * shared - percent * (size_a + size_b): they are similar if it isn't below 0.
+    x is their symmetric difference, if `differences` asks for it. Compressed texts travel, which are smaller than sets:
+    of each pair the class in fewer pairs goes to that in more, in parts of about MEMBERS, to which that one's text comes
+    as well. Texts of documents that no pair concerns are passed over by a filter of SLOTS slots.
     """
-    many = pairs.groupBy(F.col("b").alias("lead")).agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("salts"))
-    wanted = pairs.select("a", F.col("b").alias("lead")).join(many, "lead")
-    wanted = wanted.select("lead", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"), F.col("a").alias("cid"), F.lit(False).alias("first"))
-    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))
-    wanted = wanted.union(many.select("lead", each.alias("salt"), F.col("lead").alias("cid"), F.lit(True).alias("first")))
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count(F.lit(1)).alias("deg"))
+    of = lambda side: degree.select(F.col("cid").alias(side), F.col("deg").alias(f"deg_{side}"))
+    turned = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("turn", (F.col("deg_a") > F.col("deg_b")) | ((F.col("deg_a") == F.col("deg_b")) & (F.col("a") > F.col("b"))))
+    turned = turned.select(F.when(F.col("turn"), F.col("a")).otherwise(F.col("b")).alias("lead"), F.when(F.col("turn"), F.col("b")).otherwise(F.col("a")).alias("cid"), "turn", "room")
+    turned = written(turned)
+    many = turned.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("salts"))
+    wanted = turned.join(many, "lead").select("lead", F.pmod(F.xxhash64("cid"), F.col("salts")).alias("salt"), "cid", "turn", "room", F.lit(None).cast("long").alias("salts"))
+    wanted = wanted.union(many.select("lead", F.lit(0).cast("long").alias("salt"), F.col("lead").alias("cid"), F.lit(False).alias("turn"), F.lit(0).cast("long").alias("room"), "salts"))
     concerned = written(wanted.join(known.select("cid", "rep", "digest"), "cid"))
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
 
@@ -189,24 +194,30 @@ def verify(pairs: DataFrame, docs: DataFrame, known: DataFrame, percent: int) ->
 
     made = docs.select(slot(F.col("doc_id")).alias("slot"), "text").mapInArrow(texts, "digest binary, text binary")
     made = made.groupBy("digest").agg(F.first("text").alias("text"))  # copies and repeated rows are one, before the shuffle
-    met = made.join(concerned.drop("rep"), "digest").select("lead", "salt", "first", "cid", "text")
+    # A lead's text is put beside each of its parts after the join only, so that its key is no hotter than others.
+    each = F.explode(F.when(F.col("salts").isNull(), F.array("salt")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    met = made.join(concerned.drop("rep"), "digest").select("lead", each.alias("salt"), F.col("salts").isNotNull().alias("first"), "cid", "text", "turn", "room")
     met = met.repartition("lead", "salt").sortWithinPartitions("lead", "salt", F.desc("first"))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = np.empty(0, dtype=np.uint64)  # the set of the part at hand; its row comes first
         for batch in batches:
             out = []
-            for lead, first, cid, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
+            for lead, first, cid, text, turn, room in zip(*[batch.column(i).to_pylist() for i in (0, 2, 3)], batch.column(4), *[batch.column(i).to_pylist() for i in (5, 6)], strict=True):
                 x = shingles(zlib.decompress(text.as_py()).decode())
                 if first:
                     mine = x
-                else:
-                    shared = len(np.intersect1d(x, mine, assume_unique=True))
-                    if 100 * shared >= percent * (len(x) + len(mine) - shared):
-                        out.append((cid, lead))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+                    continue
+                shared = len(np.intersect1d(x, mine, assume_unique=True))
+                slack = (100 + percent) * shared - percent * (len(x) + len(mine))
+                if slack + room >= 0:
+                    ends, sizes = (lead, cid)[:: 1 if turn else -1], (len(mine), len(x))[:: 1 if turn else -1]
+                    out.append((*ends, slack, *sizes, shared, np.setxor1d(x, mine, assume_unique=True).view(np.int64) if differences else None))
+            columns = zip(*out, strict=True) if out else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["a", "b", "slack", "size_a", "size_b", "shared", "x"])
 
-    return written(met.mapInArrow(similar, "a long, b long"))
+    return written(met.mapInArrow(compared, "a long, b long, slack long, size_a long, size_b long, shared long, x array<long>"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -230,10 +241,66 @@ def components(links: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def homes(postings: DataFrame, docs: DataFrame, known: DataFrame, percent: int, differences: bool) -> DataFrame | None:
+    """Members (cid, home, w, v, x): classes that are similar to one other, their home, which is no member itself. None: none.
+
+    Near copies so become one item for all that follows. Each class is compared with one lead of its tokens: at first the
+    class of the most common tokens, which a group's plainest text has; then, for those without a home, any class that
+    has none either or is one. w and v weigh how far a member is from its home (d tokens of the home lacking, e tokens
+    beyond it): 100 d + percent e, percent d + 100 e. By the triangle inequality of counts, the slack of members a and b
+    of homes of slack s lies between s - w_a - w_b and s + v_a + v_b.
+    """
+    found = None
+    for i in range(ROUNDS):
+        here = postings.select("token", "cid", "score")
+        if found is not None:
+            here = written(here.join(found.select("cid"), "cid", "left_anti"))
+            n = here.groupBy("token").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()
+            if (n["pairs"] or 0) <= FEW_PAIRS * (n["rows"] or 0):
+                break
+        first = F.struct("score", "cid") if not i else F.struct(F.xxhash64("cid", F.lit(i)), "cid")
+        leads = here.groupBy("token").agg(F.max_by("cid", first).alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        tried = here.join(leads, "token").filter("cid <> lead")
+        if found is not None:  # a home stays one
+            tried = tried.join(found.select(F.col("home").alias("cid")).distinct(), "cid", "left_anti")
+        tried = tried.groupBy("cid", "lead").agg(F.count(F.lit(1)).alias("n")).groupBy("cid").agg(F.max(F.struct("n", "lead")).alias("x"))
+        tried = written(tried.select(F.col("cid").alias("a"), F.col("x.lead").alias("b"), F.lit(0).cast("long").alias("room")))
+        if tried.isEmpty():
+            break
+        links = verify(tried, docs, known, percent, differences)
+        links = links.join(links.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        d, e = F.col("size_b") - F.col("shared"), F.col("size_a") - F.col("shared")
+        links = links.select(F.col("a").alias("cid"), F.col("b").alias("home"), (100 * d + percent * e).alias("w"), (percent * d + 100 * e).alias("v"), "x")
+        found = links if found is None else found.union(links)
+        found = written(found)
+    return found
+
+
+def home_pairs(postings: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, room) of homes whose members' prefixes share enough tokens that some of them may be similar.
+
+    A token has one posting for each home, with bounds over its members there: their sizes, matches, sizes without the
+    prefix, tokens up to this one and from it on, and v. Sizes and places (tokens in order, no more are shared before a
+    token than either side has, nor after it) are held against the need within the join.
+    """
+    at = postings.join(members.select("cid", "home", "v"), "cid")
+    at = at.groupBy("token", "home").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.min("matches").alias("m"), F.max(F.col("n") - F.col("p")).alias("rest"), F.max("place").alias("before"), F.max(F.col("n") - F.col("place")).alias("after"), F.max("v").alias("v"))
+    met = at.groupBy("token").agg(F.count(F.lit(1)).alias("homes")).filter("homes > 1").select("token")
+    at = written(at.join(met, "token"))
+    one, two = (at.select("token", *[F.col(c).alias(f"{c}_{s}") for c in at.columns if c != "token"]) for s in "ab")
+    both = lambda f, c: f(f"{c}_a", f"{c}_b")
+    need = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+    fits = (F.col("home_a") < F.col("home_b")) & (100 * F.col("most_a") >= percent * F.col("n_b")) & (100 * F.col("most_b") >= percent * F.col("n_a")) & (both(F.least, "before") + both(F.least, "after") >= need)
+    least = F.greatest(both(F.least, "m").cast("long"), need - both(F.greatest, "rest"))
+    pairs = one.join(two, "token").filter(fits).groupBy(F.col("home_a").alias("a"), F.col("home_b").alias("b"))
+    pairs = pairs.agg(F.count(F.lit(1)).alias("shared"), F.min(least).alias("least"), F.max(F.col("v_a") + F.col("v_b")).alias("room"))
+    return written(pairs.filter("shared >= least").select("a", "b", "room"))
+
+
 def link(docs: DataFrame, percent: int = 80, every: bool = False) -> DataFrame:
     """Rows of docs (doc_id, text, key): doc_id, key, n_shingles, component_id and digest (of its set). See join().
 
-    With `every`, all pairs that share enough tokens are verified, not only those that may join components, and n_links follows.
+    With `every`, n_links follows, for which all links are counted, not only those that may join components.
     """
     profiled = profile(docs.select("doc_id", "key", "text"))
     rows = profiled.filter("part is null").select("doc_id", "key", "digest", "n")
@@ -241,52 +308,35 @@ def link(docs: DataFrame, percent: int = 80, every: bool = False) -> DataFrame:
     known = classes(docs, counts, percent)
 
     # Tokens of one class only link nothing.
-    postings = known.select("cid", F.explode("tokens").alias("token"))
-    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("lead")).filter("n > 1").select("token", "lead")
-    postings = written(postings.join(shared, "token"))
-    sizes = known.select("cid", "n", "matches", F.size("tokens").alias("p"))
-    of = lambda side: sizes.select(*[F.col(c).alias(c if c == "cid" else f"{c}_{side}") for c in ("cid", "n", "matches", "p")]).withColumnRenamed("cid", side)
-
-    def plausible(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b, shared) those that may be similar. Tokens in order, what two sets share beyond the prefix that
-        ends first is no more than the rest of that set, so shared prefix tokens and the larger rest bound the overlap."""
-        pairs = pairs.join(of("a"), "a").join(of("b"), "b")
-        need = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
-        rest = F.greatest(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
-        return pairs.filter((F.col("shared") >= F.least("matches_a", "matches_b")) & (F.col("shared") + rest >= need)).select("a", "b")
-
-    roots = links = None  # links (a, b) between classes; (node, root) of those in links
-    for i in range(0 if every else ROUNDS):
-        # Each class is compared with one other, of another component: the lead (at first the class of the most common
-        # tokens, then any) that it shares most tokens with.
-        here = _rooted(postings, roots)
-        if i:
-            split = here.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count(F.lit(1)).alias("roots"))
-            todo = split.filter("roots > 1").agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
-            if (todo["pairs"] or 0) <= FEW_PAIRS * (todo["rows"] or 0):
-                break
-            any_one = F.min(F.struct(F.xxhash64("cid", F.lit(i)).alias("h"), F.col("cid").alias("lead"), F.col("root").alias("lead_root"))).alias("x")
-            leads = here.groupBy("token").agg(any_one, F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token", "x.lead", "x.lead_root")
-            here = here.drop("lead").join(leads, "token").filter("root <> lead_root")
-        tried = here.filter("cid <> lead").groupBy("cid", "lead").agg(F.count(F.lit(1)).alias("n")).groupBy("cid").agg(F.max(F.struct("n", "lead")).alias("x"))
-        tried = written(plausible(tried.select(F.col("cid").alias("a"), F.col("x.lead").alias("b"), F.col("x.n").alias("shared"))))
-        if tried.isEmpty():
-            continue
-        found = verify(tried, docs, known, percent)
-        links = found if links is None else links.union(found)
-        roots = components(links) if not links.isEmpty() else None
-    # What is left: all pairs of classes in different components (without rounds, each is one), by the tokens that their prefixes share.
-    here = _rooted(postings.drop("lead"), roots)
-    apart = here.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
-    left = written(here.join(apart, "token").join(sizes.select("cid", "n"), "cid"))
-    one, two = (left.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "root", "n")]) for s in "ab")
-    fits = (F.col("cid_a") < F.col("cid_b")) & (F.col("root_a") != F.col("root_b")) & (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
-    pairs = one.join(two, "token").filter(fits).groupBy(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    pairs = written(plausible(pairs))
-    if not pairs.isEmpty():
-        found = verify(pairs, docs, known, percent)
-        links = found if links is None else links.union(found)
-    roots = components(links) if links is not None and not links.isEmpty() else None
+    postings = known.select("cid", "score", "n", "matches", F.size("tokens").alias("p"), F.posexplode("tokens").alias("place", "token"))
+    met = postings.groupBy("token").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("token")
+    postings = written(postings.join(met, "token"))
+    found = homes(postings, docs, known, percent, every)
+    alone = known.select("cid")
+    if found is not None:
+        alone = alone.join(found.select("cid"), "cid", "left_anti")
+    alone = alone.select("cid", F.col("cid").alias("home"), F.lit(0).cast("long").alias("w"), F.lit(0).cast("long").alias("v"))
+    members = written(alone if found is None else alone.union(found.select("cid", "home", "w", "v")))
+
+    pairs = home_pairs(postings, members, percent)
+    near = verify(pairs, docs, known, percent) if not pairs.isEmpty() else None
+    joined = [] if found is None else [found.select(F.col("cid").alias("a"), F.col("home").alias("b"))]
+    links = None  # of members of different homes, beside those that the homes' slack makes sure
+    if near is not None:
+        joined.append(near.filter("slack >= 0").select("a", "b"))
+        open_ = near.select("a", "b", "slack")
+        if not every and (roots := _roots(joined)) is not None:
+            of = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
+            open_ = open_.join(of("a"), "a", "left").join(of("b"), "b", "left").filter("not (root_a <=> root_b) or root_a is null")
+        sized = members.join(known.select("cid", "n"), "cid").withColumnRenamed("cid", "c")
+        of = lambda s: sized.select(F.col("home").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("c", "w", "v", "n")])
+        unsure = (F.col("w_a") + F.col("w_b") > F.col("slack")) & (F.col("v_a") + F.col("v_b") + F.col("slack") >= 0) & (F.col("v_a") + F.col("v_b") > 0) & (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
+        unsure = open_.join(of("a"), "a").join(of("b"), "b").filter(unsure).select(F.col("c_a").alias("a"), F.col("c_b").alias("b"), F.lit(0).cast("long").alias("room"))
+        unsure = written(unsure)
+        if not unsure.isEmpty():
+            links = verify(unsure, docs, known, percent)
+            joined.append(links.select("a", "b"))
+    roots = _roots(joined)
 
     named = _rooted(known.select("cid", "rep", "digest"), roots)
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -294,7 +344,7 @@ def link(docs: DataFrame, percent: int = 80, every: bool = False) -> DataFrame:
     own = rows.filter("n = 0").withColumn("component_id", F.col("doc_id"))
     columns = ["doc_id", "key", F.col("n").alias("n_shingles"), "component_id", "digest"]
     if every:
-        named = named.join(_near(rows, known, links), "digest")
+        named = named.join(_near(rows, known, members, found, near, links, percent), "digest")
         # All documents of its own set and of similar ones, but itself.
         rows = rows.withColumn("self", F.col("doc_id").isNotNull().cast("long"))
         own = own.withColumn("n_links", F.lit(0).cast("long"))
@@ -302,15 +352,79 @@ def link(docs: DataFrame, percent: int = 80, every: bool = False) -> DataFrame:
     return rows.filter("n > 0").join(named, "digest").select(*columns).union(own.select(*columns))
 
 
-def _near(rows: DataFrame, known: DataFrame, links: DataFrame | None) -> DataFrame:
-    """(digest, near) of classes: the documents of a class and of those that links (a, b) join to it."""
+def _near(rows: DataFrame, known: DataFrame, members: DataFrame, found: DataFrame | None, near: DataFrame | None, links: DataFrame | None, percent: int) -> DataFrame:
+    """(digest, near) of classes: the documents of a class and of all classes that are similar to it.
+
+    Members of homes of slack s are similar if w_a + w_b <= s: counted by sums of documents up to a w, of which a home has
+    no more than tokens. What stays unsure within a home is counted by the members' differences from it, what stays
+    unsure between homes is in links.
+    """
     sizes = rows.filter("n > 0").groupBy("digest").agg(F.count_distinct("doc_id").alias("docs"))
-    sizes = written(known.select("cid", "digest").join(sizes, "digest"))
-    ends = sizes.select("cid", "docs")
+    sizes = written(known.select("cid", "digest", "n").join(sizes, "digest").join(members, "cid"))
+    hist = written(sizes.groupBy("home", "w").agg(F.sum("docs").alias("docs")))
+    within = sizes.filter("cid = home").select(F.col("home").alias("a"), F.col("home").alias("b"), ((100 - percent) * F.col("n")).alias("slack"))
+    to = within
+    if near is not None:
+        sure = near.filter("slack >= 0").select("a", "b", "slack")
+        to = to.union(sure).union(sure.select(F.col("b").alias("a"), F.col("a").alias("b"), "slack"))
+    # For each pair of homes: b's documents by w, and a's questions how many of them lie up to slack - w.
+    asked = to.join(hist.select(F.col("home").alias("a"), F.col("w").alias("w")), "a").select("a", "b", (F.col("slack") - F.col("w")).alias("at"), F.lit(1).alias("kind"), "w", F.lit(0).cast("long").alias("docs"))
+    given = to.join(hist.select(F.col("home").alias("b"), F.col("w").alias("at"), "docs"), "b").select("a", "b", "at", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("w"), "docs")
+    up = Window.partitionBy("a", "b").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    sums = asked.union(given).withColumn("near", F.sum("docs").over(up)).filter("kind = 1").groupBy(F.col("a").alias("home"), "w").agg(F.sum("near").alias("near"))
+    limits = within.select(F.col("a").alias("home"), "slack")
+    counted = sizes.join(limits, "home").join(sums, ["home", "w"])
+    # Its own documents count for each class, though its distance from its home may say less.
+    out = counted.select("cid", (F.col("near") + F.when(2 * F.col("w") > F.col("slack"), F.col("docs")).otherwise(0)).alias("near"))
+    if found is not None:
+        out = out.union(_by_differences(sizes.join(found.select("cid", "x"), "cid").join(limits, "home"), percent))
     if links is not None:
-        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        ends = ends.union(both.join(sizes.select(F.col("cid").alias("b"), "docs"), "b").select("a", "docs"))
-    return ends.groupBy("cid").agg(F.sum("docs").alias("near")).join(sizes, "cid").select("digest", "near")
+        both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        out = out.union(both.join(sizes.select(F.col("cid").alias("b"), "docs"), "b").select(F.col("a").alias("cid"), F.col("docs").alias("near")))
+    return out.groupBy("cid").agg(F.sum("near").alias("near")).join(sizes.select("cid", "digest"), "cid").select("digest", "near")
+
+
+def _by_differences(members: DataFrame, percent: int) -> DataFrame:
+    """(cid, near): the documents of members (cid, home, w, x, docs, slack) of the same home that are similar though w doesn't tell.
+
+    The slack of two members is that of the home - w_a - w_b + (100 + percent) * the tokens that their differences share.
+    Blocks of about BLOCK members meet each other, each pair of blocks in a task of its own, and send sums, not pairs.
+    """
+    most = members.groupBy("home").agg(F.max("w").alias("most"))
+    open_ = members.join(most, "home").filter(F.col("w") + F.col("most") > F.col("slack"))
+    blocks = open_.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).select("home", "blocks")
+    dealt = open_.join(blocks, "home").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = dealt.withColumn("other", other).select("home", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "w", "x", "docs", "slack")
+
+    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n = len(pdf)
+        w, docs, block = (pdf[c].to_numpy(np.int64) for c in ("w", "docs", "block"))
+        sets = [np.asarray(x, dtype=np.int64) for x in pdf["x"]]
+        owner, token = np.repeat(np.arange(n), [*map(len, sets)]), np.concatenate(sets)
+        _, token = np.unique(token, return_inverse=True)
+        order = np.argsort(token, kind="stable")
+        owner, token = owner[order], token[order]
+        shared, starts = np.zeros((n, n), dtype=np.float32), np.searchsorted(token, np.arange(0, token[-1] + 1 + COLUMNS, COLUMNS))
+        for k, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
+            held = np.zeros((n, COLUMNS), dtype=np.float32)
+            held[owner[a:b], token[a:b] - k * COLUMNS] = 1
+            shared += held @ held.T
+        base = int(pdf["slack"].iloc[0]) - w[:, None] - w[None, :]
+        fits = (base < 0) & (base + (100 + percent) * shared.astype(np.int64) >= 0)
+        fits &= (block[:, None] != block[None, :]) | (key[1] == key[2])
+        np.fill_diagonal(fits, False)
+        return pd.DataFrame({"cid": pdf["cid"], "near": fits @ docs})
+
+    return dealt.groupBy("home", "i", "j").applyInPandas(count, "cid long, near long")
+
+
+def _roots(links: list[DataFrame]) -> DataFrame | None:
+    """(node, root) of all nodes of the tables (a, b) of links; None if there are none."""
+    if not links:
+        return None
+    every = written(reduce(DataFrame.union, links))
+    return written(components(every)) if not every.isEmpty() else None
 
 
 def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -334,14 +448,18 @@ def join(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """docs, of each component the row of the smallest doc_id (of several, one text's); rows without words all stay. Columns are unchanged."""
+    """docs, of each component the row of the smallest doc_id (of several, one text's); rows without words all stay. Columns are unchanged.
+
+    A null doc_id goes last; of rows that repeat doc_id and text one stays; an empty table gives no rows.
+    """
     key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
     linked = link(docs.select("doc_id", "text", key.alias("key")), percent)
     first = Window.partitionBy("component_id").orderBy(F.col("doc_id").isNull(), "doc_id", "digest")
-    kept = linked.filter("n_shingles > 0 and (doc_id = component_id or component_id is null)").withColumn("_nth", F.row_number().over(first)).filter("_nth = 1")
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    kept = linked.filter("n_shingles > 0 and (doc_id = component_id or component_id is null)").withColumn("nth", F.row_number().over(first)).filter("nth = 1")
+    mine, its_key, its_id = (fresh(name, docs.columns) for name in ("key", "kept_key", "kept_id"))
+    kept = kept.select(F.col("doc_id").alias(its_id), F.col("key").alias(its_key))
     wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    with_words = docs.filter(~wordless).withColumn("_key", key)
-    joined = with_words.join(kept, with_words["_key"].eqNullSafe(kept["_key"]) & with_words["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    with_words = docs.filter(~wordless).withColumn(mine, key)
+    joined = with_words.join(kept, F.col(mine).eqNullSafe(F.col(its_key)) & F.col("doc_id").eqNullSafe(F.col(its_id)), "left_semi")
     # Rows that repeat doc_id and text leave one.
-    return joined.dropDuplicates(["doc_id", "_key"]).select(*docs.columns).union(docs.filter(wordless))
+    return joined.dropDuplicates(["doc_id", mine]).select(*docs.columns).union(docs.filter(wordless))
