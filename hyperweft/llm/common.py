@@ -60,6 +60,11 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     return next(x for x in (name, *(f"{name}_{i}" for i in range(len(held) + 1))) if x not in held)
 
 
+def shielded(df: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """df with its columns named c0, c1, ..., so that added ones clash with none, and these columns under their old names."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), [F.col(f"c{i}").alias(name) for i, name in enumerate(df.columns)]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), evaluating value once: a one-element transform binds it."""
     return F.transform(F.array(value), body)[0]

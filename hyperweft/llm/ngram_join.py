@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, written
@@ -245,8 +245,8 @@ def homes(postings: DataFrame, docs: DataFrame, known: DataFrame, percent: int,
     """Members (cid, home, w, v, x): classes that are similar to one other, their home, which is no member itself. None: none.
 
     Near copies so become one item for all that follows. Each class is compared with one lead of its tokens: at first the
-    class of the most common tokens, which a group's plainest text has; then, for those without a home, any class that
-    has none either or is one. w and v weigh how far a member is from its home (d tokens of the home lacking, e tokens
+    class of the most common tokens, which a group's plainest text has; then, if at least half were similar to it, those
+    without a home with any class that has none either or is one. w and v weigh how far a member is from its home (d tokens of the home lacking, e tokens
     beyond it): 100 d + percent e, percent d + 100 e. By the triangle inequality of counts, the slack of members a and b
     of homes of slack s lies between s - w_a - w_b and s + v_a + v_b.
     """
@@ -254,6 +254,8 @@ def homes(postings: DataFrame, docs: DataFrame, known: DataFrame, percent: int,
     for i in range(ROUNDS):
         here = postings.select("token", "cid", "score")
         if found is not None:
+            if 2 * hits < tries:  # what is left has none
+                break
             here = written(here.join(found.select("cid"), "cid", "left_anti"))
             n = here.groupBy("token").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()
             if (n["pairs"] or 0) <= FEW_PAIRS * (n["rows"] or 0):
@@ -265,9 +267,10 @@ def homes(postings: DataFrame, docs: DataFrame, known: DataFrame, percent: int,
             tried = tried.join(found.select(F.col("home").alias("cid")).distinct(), "cid", "left_anti")
         tried = tried.groupBy("cid", "lead").agg(F.count(F.lit(1)).alias("n")).groupBy("cid").agg(F.max(F.struct("n", "lead")).alias("x"))
         tried = written(tried.select(F.col("cid").alias("a"), F.col("x.lead").alias("b"), F.lit(0).cast("long").alias("room")))
-        if tried.isEmpty():
+        if not (tries := tried.count()):
             break
         links = verify(tried, docs, known, percent, differences)
+        hits = links.count()
         links = links.join(links.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
         d, e = F.col("size_b") - F.col("shared"), F.col("size_a") - F.col("shared")
         links = links.select(F.col("a").alias("cid"), F.col("b").alias("home"), (100 * d + percent * e).alias("w"), (percent * d + 100 * e).alias("v"), "x")
@@ -276,25 +279,33 @@ def homes(postings: DataFrame, docs: DataFrame, known: DataFrame, percent: int,
     return found
 
 
-def home_pairs(postings: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def home_pairs(postings: DataFrame, members: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, room) of homes whose members' prefixes share enough tokens that some of them may be similar.
 
-    A token has one posting for each home, with bounds over its members there: their sizes, matches, sizes without the
-    prefix, tokens up to this one and from it on, and v. Sizes and places (tokens in order, no more are shared before a
-    token than either side has, nor after it) are held against the need within the join.
+    A token has one posting for each home, with bounds over its members there: their sizes, matches, tokens from this one
+    on, and v. Of the tokens that two similar sets share, in order, the kth leaves at least need - k + 1 from it on in
+    both; so of the first `matches` ones each leaves need - matches + 1, and only these are met within the join, however
+    many share a token. For homes of one member, shared prefix tokens and the larger rest then bound the overlap.
     """
     at = postings.join(members.select("cid", "home", "v"), "cid")
-    at = at.groupBy("token", "home").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.min("matches").alias("m"), F.max(F.col("n") - F.col("p")).alias("rest"), F.max("place").alias("before"), F.max(F.col("n") - F.col("place")).alias("after"), F.max("v").alias("v"))
+    at = at.groupBy("token", "home").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.min("matches").alias("m"), F.max("matches").alias("ms"), F.max(F.col("n") - F.col("place")).alias("after"), F.max("v").alias("v"))
     met = at.groupBy("token").agg(F.count(F.lit(1)).alias("homes")).filter("homes > 1").select("token")
     at = written(at.join(met, "token"))
     one, two = (at.select("token", *[F.col(c).alias(f"{c}_{s}") for c in at.columns if c != "token"]) for s in "ab")
     both = lambda f, c: f(f"{c}_a", f"{c}_b")
     need = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
-    fits = (F.col("home_a") < F.col("home_b")) & (100 * F.col("most_a") >= percent * F.col("n_b")) & (100 * F.col("most_b") >= percent * F.col("n_a")) & (both(F.least, "before") + both(F.least, "after") >= need)
-    least = F.greatest(both(F.least, "m").cast("long"), need - both(F.greatest, "rest"))
+    fits = (F.col("home_a") < F.col("home_b")) & (100 * F.col("most_a") >= percent * F.col("n_b")) & (100 * F.col("most_b") >= percent * F.col("n_a")) & (both(F.least, "after") + both(F.least, "ms") > need)
     pairs = one.join(two, "token").filter(fits).groupBy(F.col("home_a").alias("a"), F.col("home_b").alias("b"))
-    pairs = pairs.agg(F.count(F.lit(1)).alias("shared"), F.min(least).alias("least"), F.max(F.col("v_a") + F.col("v_b")).alias("room"))
-    return written(pairs.filter("shared >= least").select("a", "b", "room"))
+    pairs = pairs.agg(F.count(F.lit(1)).alias("shared"), F.min(both(F.least, "m")).alias("least"), F.max(F.col("v_a") + F.col("v_b")).alias("room"))
+    pairs = pairs.filter("shared >= least").select("a", "b", "room")
+    of = lambda s: known.select(F.col("cid").alias(s), F.col("n").alias(f"n_{s}"), F.col("tokens").alias(f"tokens_{s}"))
+    return written(pairs.join(of("a"), "a").join(of("b"), "b").filter((F.col("room") > 0) | _enough(percent)).select("a", "b", "room"))
+
+
+def _enough(percent: int) -> Column:
+    """Whether two sets (n_a, n_b) may be similar by their prefixes (tokens_a, tokens_b): tokens in order, what they share beyond the prefix that ends first is no more than the rest of that set."""
+    rest = F.greatest(F.col("n_a") - F.size("tokens_a"), F.col("n_b") - F.size("tokens_b"))
+    return F.size(F.array_intersect("tokens_a", "tokens_b")) + rest >= F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
 
 
 def link(docs: DataFrame, percent: int = 80, every: bool = False) -> DataFrame:
@@ -318,7 +329,7 @@ def link(docs: DataFrame, percent: int = 80, every: bool = False) -> DataFrame:
     alone = alone.select("cid", F.col("cid").alias("home"), F.lit(0).cast("long").alias("w"), F.lit(0).cast("long").alias("v"))
     members = written(alone if found is None else alone.union(found.select("cid", "home", "w", "v")))
 
-    pairs = home_pairs(postings, members, percent)
+    pairs = home_pairs(postings, members, known, percent)
     near = verify(pairs, docs, known, percent) if not pairs.isEmpty() else None
     joined = [] if found is None else [found.select(F.col("cid").alias("a"), F.col("home").alias("b"))]
     links = None  # of members of different homes, beside those that the homes' slack makes sure
@@ -328,10 +339,13 @@ def link(docs: DataFrame, percent: int = 80, every: bool = False) -> DataFrame:
         if not every and (roots := _roots(joined)) is not None:
             of = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
             open_ = open_.join(of("a"), "a", "left").join(of("b"), "b", "left").filter("not (root_a <=> root_b) or root_a is null")
-        sized = members.join(known.select("cid", "n"), "cid").withColumnRenamed("cid", "c")
-        of = lambda s: sized.select(F.col("home").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("c", "w", "v", "n")])
-        unsure = (F.col("w_a") + F.col("w_b") > F.col("slack")) & (F.col("v_a") + F.col("v_b") + F.col("slack") >= 0) & (F.col("v_a") + F.col("v_b") > 0) & (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
-        unsure = open_.join(of("a"), "a").join(of("b"), "b").filter(unsure).select(F.col("c_a").alias("a"), F.col("c_b").alias("b"), F.lit(0).cast("long").alias("room"))
+        open_ = written(open_.withColumn("room", F.greatest(-F.col("slack"), F.lit(0))))
+        here = open_.select(F.explode(F.array("a", "b")).alias("home")).distinct()
+        sized = members.join(here, "home", "left_semi").join(known.select("cid", "n", "tokens"), "cid").withColumnRenamed("cid", "c")
+        of = lambda s: sized.select(F.col("home").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("c", "w", "v", "n", "tokens")])
+        unsure = (F.col("w_a") + F.col("w_b") > F.col("slack")) & (F.col("v_a") + F.col("v_b") >= F.col("room")) & (F.col("v_a") + F.col("v_b") > 0) & (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
+        unsure = open_.join(of("a"), "a").join(of("b"), "b").filter(unsure & _enough(percent))
+        unsure = unsure.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"), F.lit(0).cast("long").alias("room"))
         unsure = written(unsure)
         if not unsure.isEmpty():
             links = verify(unsure, docs, known, percent)
