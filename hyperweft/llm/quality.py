@@ -8,18 +8,15 @@ from math import ceil, log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, let, written
+from .common import SPACE, WORD, let, shielded, written
 
 #: A window of a repeat, in words.
 WINDOW = 5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals", "n_exclaims")
 #: Scores in thousandths, each high in bad documents, by name.
 RULES = ("symbols", "dup_lines", "repeats", "long_words", "short_words", "capitals", "exclaims")
-#: Quantiles of the tuning half's good documents that are tried as cutoffs.
-QUANTILES = (0.95, 0.98, 0.99, 0.995, 0.998, 0.999, 1.0)
-#: Strata of their own at most; the others are pooled.
-MAX_STRATA = 64
-POOLED = "*"
+#: Quantiles of the tuning half's good documents that are tried as cutoffs, in the order in which they are tested.
+QUANTILES = (1.0, 0.999, 0.998, 0.995, 0.99, 0.98, 0.95)
 
 
 def repeat_words(words: Column) -> Column:
@@ -104,83 +101,83 @@ def _ln(x: float) -> float:
     return log(x)
 
 
-def least_tests(own: int, alpha: float, delta: float) -> int:
-    """Good documents in the test half from which on a candidate that rejects none passes, with `own` strata beside the pool."""
-    return ceil(_ln(delta / (len(QUANTILES) * len(RULES) * (own + 1))) / _ln(1 - alpha / len(RULES)))
+def stratum(lang: Column) -> Column:
+    """A stratum's key: the language's, or that of null."""
+    return F.coalesce(F.concat(F.lit("l"), lang), F.lit("n"))
 
 
-def fit(counted: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05, min_good: int = 4000, seed: int = 11) -> dict[str, dict[str, int]]:
-    """Cutoffs by stratum (lang, or POOLED) and rule: a document whose score is above is rejected.
+def fit(counted: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05, seed: int = 11) -> DataFrame:
+    """Cutoffs (stratum, cutoffs) of the languages that have some: an array by RULES, null where a rule takes no part.
 
-    With probability 1 - delta, over all strata and rules at once, no stratum's rules together reject more than a share
-    alpha of its good documents (labels.quality = 1). Candidates and the choice among them come from one half of the
-    labelled documents; the other half tests each by the exact binomial bound (Clopper-Pearson), at a level of delta
-    divided by the number of all candidates (Bonferroni) and alpha by that of the rules. Of the candidates that pass, the
-    one that rejects most bad documents of the tuning half is taken, each good one counting as ten; a rule that then
-    rejects no bad ones is left out. Languages with fewer than min_good labelled good documents are pooled, as are null and
-    those whose test half is too small for any candidate to pass; a pool that is too small itself gets no cutoffs.
-    All labels are used; repeated labels of a doc_id count once, as the lowest. What is collected is a row per stratum
-    and rule: at most (MAX_STRATA + 1) * len(RULES).
+    A document with any score above its stratum's cutoff is rejected. With probability 1 - delta, over all strata at once,
+    no stratum's rules together reject more than a share alpha of its good documents (labels.quality = 1). Candidates, a
+    vector of cutoffs per quantile, come from one half of the stratum's labelled documents: each rule's quantile of the
+    good ones' scores, for rules that there reject more bad documents than ten times the good ones. The other half tests
+    each vector as a whole by the exact binomial bound (Clopper-Pearson) on its rejected good documents. Multiple testing:
+    a stratum's vectors are tested in a fixed sequence, from the largest quantile on, and none after one that fails, so
+    that all have the stratum's whole level; that is delta divided by the number of strata (Bonferroni) whose halves are
+    large enough to pass at that level at all, which sizes alone decide. Of the vectors that pass, the one that rejects
+    most in the tuning half, by the same count, is taken. Strata that are too small have no cutoffs: nothing is promised
+    for them that isn't kept. A null language is a stratum as any other.
+    All labels are used; repeated labels of a doc_id count once, as the lowest, and null ones not at all.
     """
     quality = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("good"))
-    known = counted.filter(~base_failed()).select("doc_id", "lang", F.posexplode(scores()).alias("rule", "score")).join(quality, "doc_id")
-    known = known.withColumn("tune", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2)) == 0)
-    halves = known.filter("rule = 0 and good = 1 and lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("tune"), 1)).alias("tests"))
-    large = halves.filter(F.col("n") >= min_good).orderBy(F.desc("tests"), "lang").limit(MAX_STRATA).collect()
-    # The more strata, the more good documents a test needs: as many languages as can pass among themselves.
-    own = [x["lang"] for x in large[: max((m for m, x in enumerate(large, 1) if x["tests"] >= least_tests(m, alpha, delta)), default=0)]]
-    known = known.withColumn("own", F.when(F.col("lang").isin(own), F.col("lang")))
-    known = known.withColumn("stratum", F.coalesce("own", F.lit(POOLED)))
+    known = counted.filter(~base_failed()).select("doc_id", stratum(F.col("lang")).alias("stratum"), scores().alias("scores")).join(quality, "doc_id")
+    known = written(known.select("stratum", "scores", (F.col("good") == 1).alias("good"), (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2)) == 0).alias("tune")))
+    # How many strata can pass among themselves: the more there are, the more good documents each test needs.
+    tests = known.filter("good and not tune").groupBy("stratum").agg(F.count(F.lit(1)).alias("tests"))
+    able = tests.withColumn("nth", F.row_number().over(Window.orderBy(F.desc("tests"), "stratum"))).filter(F.col("tests") * _ln(1 - alpha) <= F.log(delta / F.col("nth")))
+    strata = able.agg(F.max("nth")).first()[0]
     # Counts by score bound what follows: the scores are whole thousandths.
-    is_good = F.col("good") == 1
-    hist = written(
-        known.groupBy("stratum", "rule", "score").agg(*[F.count(F.when((F.col("tune") == t) & (is_good == g), 1)).alias(f"{'tune' if t else 'test'}_{'good' if g else 'bad'}") for t in (True, False) for g in (True, False)])
-    )
+    by_rule = known.filter("tune").select("stratum", "good", F.posexplode("scores").alias("rule", "score"))
+    hist = by_rule.groupBy("stratum", "rule", "score").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
     up = Window.partitionBy("stratum", "rule").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy("stratum", "rule").orderBy("score").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    names = ("tune_good", "tune_bad", "test_good", "test_bad")
-    c = hist.withColumns({f"{x}_kept": F.sum(x).over(up) for x in names} | {f"{x}_all": F.sum(x).over(total) for x in names})
+    whole = Window.partitionBy("stratum", "rule")
+    c = hist.withColumns({f"{x}_kept": F.sum(x).over(up) for x in ("good", "bad")} | {f"{x}_all": F.sum(x).over(whole) for x in ("good", "bad")})
     # A quantile's cutoff is the first score that keeps as many of the good ones.
-    c = c.withColumn("q", F.explode(F.array(*[F.lit(q) for q in QUANTILES]))).filter((F.col("tune_good_all") > 0) & (F.col("tune_good_kept") >= F.ceil(F.col("q") * F.col("tune_good_all"))))
-    c = c.groupBy("stratum", "rule", "q").agg(F.min_by(F.struct("score", *[f"{x}_{y}" for x in names for y in ("kept", "all")]), "score").alias("c")).select("stratum", "rule", "c.*").distinct()
-    tests = len(QUANTILES) * len(RULES) * (len(own) + 1)
-    k, n, a = F.col("test_good_all") - F.col("test_good_kept"), F.col("test_good_all"), alpha / len(RULES)
-    passed = F.when(k < n * a, log_binomial_cdf(k, n, a) <= _ln(delta / tests)).otherwise(False)
-    gain = (F.col("tune_bad_all") - F.col("tune_bad_kept")) - 10 * (F.col("tune_good_all") - F.col("tune_good_kept"))
-    best = c.withColumn("gain", gain).filter(passed & (F.col("gain") > 0)).groupBy("stratum", "rule").agg(F.max(F.struct("gain", "score")).alias("best"))
-    out: dict[str, dict[str, int]] = {x: {} for x in own} | {POOLED: {}}
-    for x in best.collect():
-        out[x["stratum"]][RULES[x["rule"]]] = x["best"]["score"]
-    return out
-
-
-def kept(cutoffs: dict[str, dict[str, int]], c=F.col) -> Column:
-    """The verdict: false if the base rules fail, else whether no score is above its stratum's cutoff."""
-
-    def verdict(found: Column) -> Column:
-        none_above = lambda rules: reduce(lambda a, b: a & b, [found[RULES.index(r)] <= x for r, x in sorted(rules.items())], F.lit(True))
-        out = none_above(cutoffs[POOLED])
-        for lang in sorted(set(cutoffs) - {POOLED}):
-            out = F.when(F.col("lang") == lang, none_above(cutoffs[lang])).otherwise(out)
-        return out
-
-    return ~base_failed(c) & let(scores(c), verdict)
+    c = c.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(len(QUANTILES) - 1)))).withColumn("least", F.ceil(F.element_at(F.array(*map(F.lit, QUANTILES)), F.col("q") + 1) * F.col("good_all")))
+    c = c.filter((F.col("good_all") > 0) & (F.col("good_kept") >= F.col("least"))).groupBy("stratum", "q", "rule")
+    c = c.agg(F.min_by(F.struct("score", (F.col("bad_all") - F.col("bad_kept") - 10 * (F.col("good_all") - F.col("good_kept"))).alias("gain")), "score").alias("c")).filter("c.gain > 0")
+    vectors = c.groupBy("stratum", "q").agg(F.map_from_entries(F.collect_list(F.struct("rule", "c.score"))).alias("by_rule"))
+    vectors = vectors.select("stratum", F.struct("q", F.array(*[F.element_at("by_rule", F.lit(i)) for i in range(len(RULES))]).alias("cutoffs")).alias("v"))
+    vectors = written(vectors.groupBy("stratum").agg(F.sort_array(F.collect_list("v")).alias("vectors")))
+    judged = known.join(vectors, "stratum").select("stratum", "good", "tune", F.explode("vectors").alias("v"), "scores")
+    judged = judged.withColumn("hit", rejects(F.col("scores"), F.col("v.cutoffs")))
+    judged = judged.groupBy("stratum", "v").agg(F.count_if(F.expr("good and not tune")).alias("n"), F.count_if(F.expr("hit and good and not tune")).alias("k"), F.count_if(F.expr("hit and tune and not good")).alias("bad"), F.count_if(F.expr("hit and tune and good")).alias("good"))
+    n, k = F.col("n"), F.col("k")
+    passed = F.when(k < n * alpha, log_binomial_cdf(k, n, alpha) <= _ln(delta / max(1, strata or 0))).otherwise(False)
+    in_order = Window.partitionBy("stratum").orderBy("v.q").rowsBetween(Window.unboundedPreceding, 0)
+    judged = judged.withColumn("passed", F.min(passed).over(in_order)).filter("passed")
+    return written(judged.groupBy("stratum").agg(F.max_by("v.cutoffs", F.struct(F.col("bad") - 10 * F.col("good"), -F.col("v.q"))).alias("cutoffs")))
+
+
+def rejects(found: Column, cutoffs: Column) -> Column:
+    """Whether any of the scores found is above its cutoff."""
+    return F.exists(F.zip_with(found, cutoffs, lambda x, c: F.coalesce(x > c, F.lit(False))), lambda x: x)
+
+
+def _judged(counted: DataFrame, labels: DataFrame, options: dict) -> DataFrame:
+    """counted (doc_id, lang, COUNTS and others) with base_failed and kept."""
+    cutoffs = fit(counted, labels.select("doc_id", "quality"), **options)
+    # A row for each language that has cutoffs: broadcast if its size says so, skewed languages are split if not.
+    out = counted.withColumn("stratum", stratum(F.col("lang"))).join(cutoffs, "stratum", "left")
+    rejected = F.coalesce(rejects(scores(), F.col("cutoffs")), F.lit(False))
+    return out.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & ~rejected})
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Per row of docs (doc_id, text, lang): doc_id, COUNTS, base_failed, kept.
 
-    Null texts count as empty ones and fail the base rules, null languages go by the pooled cutoffs, repeated rows are
+    Null texts count as empty ones and fail the base rules, null languages are a stratum of their own, repeated rows are
     judged alike, empty tables of documents or labels give no rows or no cutoffs. Other columns of docs are not read.
     """
     counted = written(features(docs.select("doc_id", "text", "lang")))
-    cutoffs = fit(counted, labels.select("doc_id", "quality"), **options)
-    return counted.select("doc_id", *COUNTS, base_failed().alias("base_failed"), kept(cutoffs).alias("kept"))
+    return _judged(counted, labels, options).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are kept, all their columns unchanged. Texts are counted twice rather than written with their counts."""
-    counted = written(features(docs.select("doc_id", "text", "lang")))
-    cutoffs = fit(counted, labels.select("doc_id", "quality"), **options)
-    # Bound, the counts are one expression, however often the verdict uses them and wherever the filter is pushed.
-    return docs.filter(let(counts(F.col("text")), lambda c: kept(cutoffs, lambda name: c[name])))
+    """The rows of docs that quality_rules() keeps, all their columns unchanged, whatever their names. Texts are written with their counts, so that they are counted once."""
+    rows, columns = shielded(docs)
+    of = lambda c: rows[docs.columns.index(c)]
+    counted = written(rows.withColumns({"doc_id": of("doc_id"), "lang": of("lang"), "counts": counts(of("text"))}).select("*", "counts.*").drop("counts"))
+    return _judged(counted, labels, options).filter("kept").select(*columns)

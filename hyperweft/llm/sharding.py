@@ -84,8 +84,8 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
 
     Returns doc_id, size (UTF-8 bytes of the text plus 8; null text: 8), text_crc32 (null text: that of the empty one),
     law ('bytes'), shard, slot (gapless from 0 in each shard) and grown_shard (null: this law promises nothing about
-    one more shard). Null texts form one group, apart from empty ones; repeated rows each get a slot; an empty table
-    gives no rows. Other columns of docs are not read. Tasks difference cells of about CELL_GROUPS groups, then the cells'
+    one more shard). Null texts form one group, apart from empty ones; repeated rows each get a slot; slots follow the
+    order in which rows are read, shards only the texts; an empty table gives no rows. Other columns of docs are not read. Tasks difference cells of about CELL_GROUPS groups, then the cells'
     partial partitions are differenced FAN_IN at a time. Copies are summed before the shuffle, so a group of any number
     of rows is one row there.
     """
@@ -95,6 +95,7 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
         (F.octet_length(text) + F.lit(8)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.unhex(F.sha2(F.coalesce(F.concat(F.lit("t"), "text"), F.lit("n")), 256)).alias("key"),
+        F.monotonically_increasing_id().alias("row"),
     )
     rows = written(rows)
     groups = rows.groupBy("key").agg(F.sum("size").alias("weight"))
@@ -112,12 +113,13 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     cells = written(cells.groupBy("cell").applyInPandas(cell, "cell long, key binary, part int, sums array<long>"))
     homes = _combine(cells.filter("part < 0").select("cell", "sums"), shards)
     homes = written(cells.filter("part >= 0").join(homes, "cell").select("key", F.get("parts", F.col("part")).cast("int").alias("shard")))
-    placed = rows.join(homes, "key").withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts_for(n, SLOT_ROWS))))
+    # Blocks are of rows, not of texts: copies and repeated rows lie in all of them.
+    placed = rows.join(homes, "key").withColumn("block", F.pmod(F.xxhash64("row"), F.lit(parts_for(rows.count(), SLOT_ROWS))))
     # Slots: rows are numbered within (shard, block), and the shard's blocks before are counted.
     counts = placed.groupBy("shard", "block").count()
     before = F.sum("count").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("count")
     counts = counts.select("shard", "block", before.alias("before"))
-    nth = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size"))
+    nth = F.row_number().over(Window.partitionBy("shard", "block").orderBy("row"))
     return (
         placed.withColumn("nth", nth)
         .join(counts, ["shard", "block"])

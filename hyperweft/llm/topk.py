@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,8 @@ BLOCK_ROWS = 1024
 def whole_parts(vector: Column) -> Column:
     """floor(256 * x) of each component, as doubles; null for a vector that is null or holds a null or non-finite component."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when(fine, F.transform(vector, lambda x: _floor(256 * x.cast("double"))))
+    most = sys.float_info.max / 256  # so that 256 * x is finite
+    return F.when(fine, F.transform(vector, lambda x: _floor(256 * F.greatest(F.lit(-most), F.least(F.lit(most), x.cast("double"))))))
 
 
 def _floor(x: Column) -> Column:
@@ -56,6 +58,14 @@ def build(ids: np.ndarray, vectors: np.ndarray) -> dict[str, np.ndarray]:
     return {"ids": ids[order], "vectors": vectors[order], "centre": np.array(centre), "radius": np.array(radius), "first": np.array(first), "last": np.array(last), "child": np.array(child)}
 
 
+def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers, exact: as doubles where all are below 2**53, else by integers, those beyond 64 bits as the last ones."""
+    if np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * max(1, queries.shape[1]) < 2**53:
+        return (queries @ vectors.T).astype(np.longdouble)
+    whole = lambda x: np.array([[int(c) for c in row] for row in x], dtype=object).reshape(x.shape)
+    return np.clip(whole(queries).dot(whole(vectors).T), -(2**63), 2**63 - 1).astype(object).astype(np.longdouble)
+
+
 def search(tree: dict[str, np.ndarray], qids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray, probe: bool) -> tuple[np.ndarray, np.ndarray]:
     """The k best scores of each query in a shard, with ids (-1: none), by branch and bound.
 
@@ -72,7 +82,7 @@ def search(tree: dict[str, np.ndarray], qids: np.ndarray, queries: np.ndarray, k
     parent = np.full((n, 1), np.inf)
     while len(level):
         b = queries @ tree["centre"][level].T + length[:, None] * tree["radius"][level]
-        b = np.minimum(parent, b + margin * (1 + np.abs(b)))
+        b = np.where(np.isnan(b), np.inf, np.minimum(parent, b + margin * (1 + np.abs(b))))  # beyond doubles, nothing is cut
         bound[:, level] = np.where(b >= reach[:, None], b, -np.inf)
         inner = [i for i, x in enumerate(level) if tree["child"][x] and (bound[:, x] > -np.inf).any()]
         parent = np.repeat(bound[:, level[inner]], 2, axis=1)
@@ -80,7 +90,7 @@ def search(tree: dict[str, np.ndarray], qids: np.ndarray, queries: np.ndarray, k
     leaves = np.flatnonzero(tree["child"] == 0)
     bound = bound[:, leaves]
     order = np.argsort(-bound, axis=1, kind="stable")
-    best, who = np.full((n, k), -np.inf), np.full((n, k), -1, dtype=np.int64)
+    best, who = np.full((n, k), -np.inf, dtype=np.longdouble), np.full((n, k), -1, dtype=np.int64)
     active = np.arange(n)
     for j in range(1 if probe else len(leaves)):
         at = order[active, j]
@@ -95,7 +105,7 @@ def search(tree: dict[str, np.ndarray], qids: np.ndarray, queries: np.ndarray, k
             leaf = leaves[at[some[0]]]
             a, b = tree["first"][leaf], tree["last"][leaf]
             q = active[some]
-            scores = queries[q] @ tree["vectors"][a:b].T
+            scores = products(queries[q], tree["vectors"][a:b])
             ids = tree["ids"][a:b]
             scores = np.where(ids[None, :] == qids[q][:, None], -np.inf, scores)
             all_s = np.hstack([best[q], scores])
@@ -108,7 +118,7 @@ def search(tree: dict[str, np.ndarray], qids: np.ndarray, queries: np.ndarray, k
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """For each row of queries (query_id, embedding), its k rows of vectors (vec_id, embedding) of the highest scores: query_id, rank, vec_id, score.
 
-    Components are floor(256 * x); the score is their inner product, exact as a double below 2**53 and an error beyond.
+    Components are floor(256 * x); the score is their inner product, exact, and the last long where it is beyond 64 bits.
     A query's own vec_id is no candidate; ties go to the smaller vec_id; a query with fewer candidates has all. Vectors
     that are null or hold null or non-finite components, and null ids, take no part; shorter vectors count as padded with
     zeros; a query row that repeats another is answered once, a candidate row that repeats another counts again. Empty
@@ -122,11 +132,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     v, q = parts(vectors, "vec_id"), parts(queries, "query_id").distinct()
     v = written(v)
     q = written(q)
-    stats = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))).alias("most")).first()
+    stats = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
     sv, sq = stats(v), stats(q)
     dim = max(sv["dim"] or 0, sq["dim"] or 0, 1)
-    if (sv["most"] or 0) * (sq["most"] or 0) * dim >= 2**53:
-        raise ValueError("scores may be beyond 2**53")
     shards, blocks = parts_for(sv["n"], SHARD_ROWS), parts_for(sq["n"], BLOCK_ROWS)
 
     def matrix(x) -> np.ndarray:

@@ -9,17 +9,17 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_folder, written
 
-#: Bytes of an archive that one reading task owns.
-RANGE = 16 << 20
-#: Bytes that are read at a time.
-CHUNK = 1 << 20
+#: The gzip magic number, which starts each member.
 MAGIC = b"\x1f\x8b\x08"
+#: Bytes of records that a task holds at a time.
+HELD = 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -35,10 +35,11 @@ def _gzip(data: bytes) -> bytes:
     return out if out[-1] == 0 else out + member(b"")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, revisit: bool, refers_to: int | None) -> bytes:
-    """One WARC 1.1 record: an HTTP response with the payload, or the headers of a revisit to one."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if revisit else http + payload
+def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None) -> bytes:
+    """One WARC 1.1 record: an HTTP response with the payload, or, without one, the headers of a revisit; size is the full payload's."""
+    revisit = payload is None
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    block = http + (payload or b"")
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{url}|{digest}')}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub("[%\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
@@ -72,113 +73,157 @@ def write(pages: DataFrame, path: str, least: int = 0) -> None:
     """Writes a record per row of pages (page_id, url, html) to archives below path, each a series of gzip members.
 
     Of rows with equal payloads (UTF-8 html; null: empty) of at least `least` bytes, one with the smallest page_id (nulls
-    last) is a response and the others are revisits of it; rows that repeat that page_id revisit it as well. An empty
-    table writes archives without records. Other columns of pages are not read. Archives are written by Spark's text
-    writer, whose committer lets only whole tasks' files appear, on any file system: a member's last byte, zero, is its
-    line separator. Payloads are joined with the few digests that occur twice, so copies meet there in one row.
+    last) is a response and the others are revisits of it; of rows that repeat that page_id, one of the smallest url is.
+    An empty table writes archives without records. Other columns of pages are not read. Archives are written by Spark's
+    text writer, whose committer lets only whole tasks' files appear, on any file system: a member's last byte, zero, is
+    its line separator. Payloads are joined with the few digests that occur twice, so copies meet there in one row; rows
+    that repeat page_id, url and html are counted where they are read, and one payload from each partition travels.
     """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
-    rows = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("digest"))
-    each = rows.filter(F.octet_length("payload") >= least).groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("size"), F.sha1(payload).alias("digest"))
+    each = rows.filter(F.col("size") >= least).groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"))
     first = F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "n")).alias("first")
     copied = written(each.groupBy("digest").agg(F.sum("n").alias("rows"), first).filter("rows > 1").select("digest", "first"))
     rows = rows.join(copied, "digest", "left")
     is_first = F.col("first").isNull() | F.col("page_id").eqNullSafe(F.col("first.page_id"))
-    shape = lambda df, revisit: df.select("page_id", "url", "payload", "digest", revisit.alias("revisit"), F.col("first.page_id").alias("refers_to"))
+    out = ["page_id", "url", "payload", "size", "digest", "refers_to"]
+    shape = lambda df, response: df.withColumns({"payload": F.when(response, F.col("payload")), "refers_to": F.col("first.page_id")}).select(*out)
     if copied.filter("first.n > 1").isEmpty():
-        rows = shape(rows, ~is_first)
+        rows = shape(rows, is_first)
     else:  # of rows that repeat the smallest page_id, one is the response
         tie = is_first & F.coalesce(F.col("first.n") > 1, F.lit(False))
-        nth = F.row_number().over(Window.partitionBy("digest").orderBy("url"))
-        rows = shape(rows.filter(~tie), ~is_first).union(shape(rows.filter(tie).withColumn("nth", nth), F.col("nth") > 1))
+        ties = rows.filter(tie).groupBy("digest", "page_id", "url", F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"), F.first("payload").alias("payload"), F.first("size").alias("size"))
+        ties = written(ties)
+        lead = ties.groupBy("digest").agg(F.min(F.struct(F.col("url").isNull(), "url", "part")).alias("lead"))
+        ties = ties.join(lead, "digest").withColumn("leads", F.col("url").eqNullSafe(F.col("lead.url")) & (F.col("part") == F.col("lead.part")))
+        refers = ties.withColumn("refers_to", F.col("page_id"))
+        again = F.explode(F.sequence(F.lit(1), (F.col("n") - F.col("leads").cast("int")).cast("int")))
+        more = refers.filter("n > 1 or not leads").withColumns({"again": again, "payload": F.lit(None).cast("binary")})
+        rows = shape(rows.filter(~tie), is_first).union(refers.filter("leads").select(*out)).union(more.select(*out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i, u, p, d, again, to in zip(*[batch.column(k) for k in range(6)], strict=True):
+            for i, u, p, n, d, to in zip(*[batch.column(k) for k in range(6)], strict=True):
                 digest = base64.b32encode(bytes.fromhex(d.as_py())).decode()
-                out.append(_gzip(record(i.as_py(), u.as_py(), p.as_py(), digest, again.as_py(), to.as_py()))[:-1])
+                out.append(_gzip(record(i.as_py(), u.as_py(), p.as_py(), n.as_py(), digest, to.as_py()))[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
 
     rows.mapInArrow(run, "member binary").select(F.col("member").cast("string")).write.option("lineSep", "\0").text(path)
 
 
-def members(f, start: int, end: int) -> Iterator[bytes]:
-    """The records of a gzip archive f (a random-access file) whose members start in [start, end).
+class Range:
+    """The members of a range of an archive, from the pieces between the magic numbers that start in it.
 
-    A range may start inside a member, so each gzip magic number there is a candidate only: it counts if it decodes to a
-    WARC header. A member's end, beyond the range if need be, is where decoding ends; its checksum is verified.
+    A magic number is a candidate only: it counts if what follows decodes to a WARC header; pieces are joined until the
+    member ends, and its checksum is verified. Where a member holds a magic number of its own just behind the end of a
+    range, its rest lies in the next one: then tail has this range's part of it, and head what the next range can't place.
     """
-    size = f.size()
-    held, base = b"", start  # bytes of the file from base on
-
-    def at(p: int, n: int) -> bytes:
-        nonlocal held, base
-        while base + len(held) < min(p + n, size):
-            held += f.read_at(min(CHUNK, size - base - len(held)), base + len(held))
-        return held[p - base : p - base + n]
-
-    p = start
-    while p < min(end, size):
-        if p - base > 8 * CHUNK:  # what lies before p isn't needed again
-            held, base = held[p - base :], p
-        piece = at(p, CHUNK)
-        k = piece.find(MAGIC)
-        if k:  # none here, or further on
-            p += k if k > 0 else max(1, len(piece) - len(MAGIC) + 1)
-            continue
-        z, parts, q = zlib.decompressobj(31), [], p
-        try:
-            while not z.eof and (piece := at(q, CHUNK)):
-                parts.append(z.decompress(piece))
-                q += len(piece)
-                if parts[0] and not parts[0].startswith(b"WARC/1."):
-                    raise zlib.error
-            if not z.eof:
-                raise zlib.error
-        except zlib.error:
-            p += 1
-            continue
-        p = q - len(z.unused_data)
-        if data := b"".join(parts):
-            yield data
-
-
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives below path, a task per RANGE bytes: page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "length").filter("length > 0")
-    ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(RANGE).cast("long"))).alias("start"))
+
+    def __init__(self):
+        self.head, self.tail = b"", b""
+        self.begun = False  # whether a member has started here
+
+    def add(self, piece: bytes) -> bytes | None:
+        """The record that this piece completes; None if it doesn't, b"" for an empty member."""
+        if self.tail:
+            self.tail += MAGIC + piece
+        elif not self.begun and not starts(MAGIC + piece):
+            self.head += MAGIC + piece
+            return None
+        else:
+            self.begun, self.tail = True, MAGIC + piece
+        z = zlib.decompressobj(31)
+        data = z.decompress(self.tail)
+        if not z.eof:
+            return None
+        if z.unused_data:
+            raise ValueError("bytes between the members of an archive")
+        self.tail = b""
+        return data
+
+
+def starts(member: bytes) -> bool:
+    """Whether bytes that begin with the magic number are the start of a record, or an empty member."""
+    z = zlib.decompressobj(31)
+    try:
+        data = z.decompress(member, 64)
+    except zlib.error:
+        return False
+    return data.startswith(b"WARC/1.") or z.eof and not data
+
+
+def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """The records of all archives below path: page_id, url, payload (null without `payloads`), payload_bytes, payload_digest, record_type, refers_to.
+
+    Spark's text source, with the magic number for its line separator, deals byte ranges to tasks on any file system that
+    it can read: a task scans its range for the number and has the pieces that start inside. Members are validated by
+    decoding them. What a false magic number leaves between two ranges is joined by archive afterwards.
+    """
+    pieces = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+    pieces = pieces.select(F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    names = [x.split()[0] for x in READ.split(", ")] + ["path", "start", "head", "tail", "begun"]
+    kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.bool_()]
+
+    def row(data: bytes) -> tuple:
+        out = parse(data)
+        return out if payloads else (*out[:2], None, *out[3:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow.fs import FileSystem
+        rows: list[tuple] = []
+        held, at, here = 0, None, Range()
 
-        names = [x.split()[0] for x in READ.split(", ")]
-        kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        def made() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*map(list, zip(*rows, strict=True))], kinds, strict=True)], names=names)
+            rows.clear()
+            return out
 
-        def made(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        def ended() -> None:
+            if at and (here.head or here.tail):
+                rows.append((*[None] * 7, *at, here.head, here.tail, here.begun))
 
         for batch in batches:
-            for uri, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                fs, name = FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
-                rows, held = [], 0
-                with fs.open_input_file(name) as f:
-                    for data in members(f, start, start + RANGE):
-                        rows.append(parse(data))
-                        held += len(data)
-                        if held > 8 << 20:
-                            yield made(rows)
-                            rows, held = [], 0
-                if rows:
-                    yield made(rows)
-
-    # Dealt round-robin: ranges are equal work, and a file's ranges need not stay together.
-    return ranges.repartition(max(1, min(ranges.count(), 100_000))).mapInArrow(run, READ)
-
-
-def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
+            for piece, p, start in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if (p, start) != at:
+                    ended()
+                    at, here = (p, start), Range()
+                    if not start:  # what is before a file's first magic number
+                        if len(piece.as_buffer()):
+                            raise ValueError(f"{p} doesn't start with a gzip member")
+                        continue
+                if data := here.add(piece.as_py()):
+                    rows.append((*row(data), *at, None, None, None))
+                    held += len(data)
+                    if held > HELD:
+                        yield made()
+                        held = 0
+        ended()
+        if rows:
+            yield made()
+
+    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, rest = [], b""
+        for head, tail, begun in pdf.sort_values("start")[["head", "tail", "begun"]].itertuples(index=False):
+            here = Range()
+            here.begun = True
+            for piece in (rest + head).split(MAGIC)[1:]:
+                if data := here.add(piece):
+                    rows.append(row(data))
+            if begun and here.tail:
+                raise ValueError("an archive's member has no end")
+            rest = here.tail + tail
+        if rest:
+            raise ValueError("an archive's member has no end")
+        return pd.DataFrame(rows, columns=names[:7]).astype({"page_id": "Int64", "refers_to": "Int64"})
+
+    out = written(pieces.mapInArrow(run, f"{READ}, path string, start long, head binary, tail binary, begun boolean"))
+    between = out.filter("start is not null and record_type is null").select("path", "start", "head", "tail", "begun").groupBy("path").applyInPandas(joined, READ)
+    return out.filter("record_type is not null").select(*names[:7]).union(between)
+
+
+def round_trip(pages: DataFrame, least: int = 0, payloads: bool = True) -> DataFrame:
     """Writes pages to archives in the shared folder and reads them back; see write() and read()."""
     spark = pages.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.warc.gz"
     write(pages, path, least)
-    return read(spark, path)
+    return read(spark, path, payloads)
