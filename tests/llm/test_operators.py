@@ -62,17 +62,35 @@ def test_topk(spark):
     assert topk.top_k(df.limit(0), queries, 5).count() == 0 and topk.top_k(df.limit(3), queries.filter("query_id = 0"), 5).count() == 2
 
 
+def test_topk_in_shards(spark, monkeypatch):
+    """Many small shards and blocks, equal vectors, large components beyond 2**53 and beyond 64 bits, and repeated rows."""
+    for name, n in (("SHARD_ROWS", 40), ("BLOCK_ROWS", 7), ("SAMPLE", 100), ("CHUNK", 3), ("LEAF_ROWS", 8)):
+        monkeypatch.setattr(topk, name, n)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(9, 5)) * 3
+    x = [(centres[rng.integers(0, 9)] + rng.normal(size=5) / 4).tolist() for _ in range(500)] + [[1.0] * 5] * 200 + [[1e9 + i, 3.0, 1e9, 0.0, -1e9] for i in range(30)] + [[1e300, 0.0, 0.0, 0.0, 0.0]]
+    rows = [(i, v) for i, v in enumerate(x)] + [(3, x[3]), (3, x[3])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, df.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5).collect()
+    whole = [(i, [int(np.floor(256 * c)) if abs(256 * c) < 2**52 else int(256 * c) for c in v]) for i, v in rows]
+    want = collections.Counter()
+    for i, v in {i: v for i, v in whole if i % 20 == 0}.items():
+        s = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, w)))), j) for j, w in whole if j != i)[:5]
+        want.update((i, r + 1, j, -n) for r, (n, j) in enumerate(s))
+    assert collections.Counter(map(tuple, got)) == want
+
+
 def test_tree_search_cuts_nothing():
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(20, 8)) * 500
     v = np.floor(centres[rng.integers(0, 20, 3000)] + rng.normal(size=(3000, 8)) * 20)
     tree, q = topk.build(np.arange(3000), v), v[:40]
-    best, who = topk.search(tree, np.arange(40), q, 5, np.full(40, -np.inf), False)
+    best, who = topk.search(tree, np.arange(40), q, 5, np.full(40, -np.inf))
     s = q @ v.T
     s[np.arange(40), np.arange(40)] = -np.inf
     order = np.lexsort((np.broadcast_to(np.arange(3000), s.shape), -s), axis=1)[:, :5]
     assert (who == order).all() and (best == np.take_along_axis(s, order, 1)).all()
-    again, _ = topk.search(tree, np.arange(40), q, 5, best[:, 4], False)
+    again, _ = topk.search(tree, np.arange(40), q, 5, best[:, 4].astype(float))
     assert (again == best).all()
 
 
