@@ -13,19 +13,8 @@ UNIVERSAL = 2.8665064
 TINY = math.exp(-700)
 
 
-def log_star(n: float) -> float:
-    """Bits of the universal code of n: its positive iterated logarithms, plus the constant's; 0 for n <= 0."""
-    if n <= 0:
-        return 0.0
-    out, x = math.log2(UNIVERSAL), math.log2(n)
-    while x > 0:
-        out += x
-        x = math.log2(x)
-    return out
-
-
 def log_star_column(n: Column) -> Column:
-    """As log_star(); five logarithms reach below 1 for any long."""
+    """Bits of the universal code of n: its positive iterated logarithms, plus the constant's; 0 for n <= 0. Five logarithms reach below 1 for any long."""
     out, x = F.lit(math.log2(UNIVERSAL)), n.cast("double")
     for _ in range(5):
         x = F.when(x > 0, F.log2(x)).otherwise(F.lit(0.0))

@@ -122,16 +122,86 @@ def merge_deltas(blocks: DataFrame, edges: DataFrame, pairs: DataFrame, weights:
     return rows.groupBy("c1", "c2").agg((F.sum(delta) - weights[0]).cast("long").alias("delta"))
 
 
-def tau_row_move(inc: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node_id, label): the cluster to which each node moves: the largest sum of t(r, c) / t(c) - t(r) over its entries, the highest cluster on ties."""
-    t = inc.join(nodes, "node_id").join(edges, "edge_id").groupBy("rc", "cc").agg(F.count(F.lit(1)).alias("z"))
+def _by_cluster(tensor: DataFrame, modes: list[str], held: dict[str, DataFrame], but: str | None = None) -> DataFrame:
+    """The tensor (modes, val) with each mode's items as their clusters, except those of `but`."""
+    t = tensor
+    for m in modes:
+        if m != but:
+            t = t.join(held[m].withColumnRenamed("label", f"to_{m}"), m).drop(m).withColumnRenamed(f"to_{m}", m)
+    return t.groupBy(*modes).agg(F.sum("val").alias("val"))
+
+
+def clustered_tau(tensor: DataFrame, modes: list[str], held: dict[str, DataFrame]) -> DataFrame:
+    """tensor_tau() of the clusters held by mode."""
+    return tensor_tau(_by_cluster(tensor, modes, held), modes)
+
+
+def tensor_move(tensor: DataFrame, modes: list[str], mode: str, held: dict[str, DataFrame], prototypes: DataFrame | None = None) -> DataFrame:
+    """(mode, label): the cluster to which each of a mode's items moves, by the other modes' clusters held.
+
+    An item goes to the cluster r of the largest sum of t(r, c) / t(c) - t(r) over its entries, c running over combinations
+    of the others' clusters; the highest cluster on ties. Sums are split so that only clusters that share a combination
+    with an item meet it; the item's total times the least t(r) stands for all others. prototypes (mode, label): items
+    that are the clusters, instead of those held.
+    """
+    others = [m for m in modes if m != mode]
+    own = _by_cluster(tensor, modes, held, mode)
+    clusters = held[mode] if prototypes is None else prototypes
+    t = own.join(clusters, mode).groupBy("label", *others).agg(F.sum("val").alias("z"))
+    of_all = own.groupBy(*others).agg(F.sum("val").alias("zy")) if prototypes is not None else t.groupBy(*others).agg(F.sum("z").alias("zy"))
     total = t.agg(F.sum("z").alias("total"))
-    x, y = t.groupBy("rc").agg(F.sum("z").alias("zx")), t.groupBy("cc").agg(F.sum("z").alias("zy"))
-    # B over all pairs of clusters; both are few beside the nodes.
-    b = x.join(F.broadcast(y)).join(t, ["rc", "cc"], "left").join(F.broadcast(total)).select("rc", "cc", (F.coalesce("z", F.lit(0)) / F.col("zy") - F.col("zx") / F.col("total")).alias("b"))
-    own = inc.join(edges, "edge_id").groupBy("node_id", "cc").agg(F.count(F.lit(1)).alias("n"))
-    s = own.join(b, "cc").groupBy("node_id", "rc").agg(F.round(F.sum(F.col("n") * F.col("b")), 9).alias("s"))
-    return s.groupBy("node_id").agg(F.max_by("rc", F.struct("s", "rc")).alias("label"))
+    x = t.groupBy("label").agg(F.sum("z").alias("zx")).join(F.broadcast(total)).select("label", (F.col("zx") / F.col("total")).alias("share"))
+    met = own.join(t, others).join(of_all, others).groupBy(mode, "label").agg(F.sum(F.col("val") * F.col("z") / F.col("zy")).alias("gain"))
+    n = own.groupBy(mode).agg(F.sum("val").alias("n"))
+    near = met.join(x, "label").join(n, mode).select(mode, "label", F.round(F.col("gain") - F.col("n") * F.col("share"), 9).alias("s"))
+    # Clusters that share nothing with an item score -n share: of those with the least share, the highest stands for all.
+    rest = x.agg(F.min(F.struct("share", -F.col("label"))).alias("r")).select(F.col("r.share").alias("share"), (-F.col("r.col2")).alias("label"))
+    far = n.join(F.broadcast(rest)).select(mode, "label", F.round(-F.col("n") * F.col("share"), 9).alias("s"))
+    # If that one is met by the item, its score there is no less, so both may stand.
+    return near.union(far.select(*near.columns)).groupBy(mode).agg(F.max_by("label", F.struct("s", "label")).alias("label"))
+
+
+def tau_row_move(inc: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_id, label): tensor_move() of the nodes of an incidence."""
+    held = {"node_id": nodes.withColumnRenamed("rc", "label"), "edge_id": edges.withColumnRenamed("cc", "label")}
+    return tensor_move(inc.select("node_id", "edge_id", F.lit(1).alias("val")), ["node_id", "edge_id"], "node_id", held)
+
+
+def centers(vectors: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(rc, i, c): each cluster's mean vector, a row per component; vectors (node_id, v)."""
+    each = vectors.join(nodes, "node_id").select("rc", F.posexplode("v").alias("i", "x"))
+    return each.groupBy("rc", "i").agg(F.avg("x").alias("c"))
+
+
+def _distances(vectors: DataFrame, means: DataFrame) -> DataFrame:
+    """(node_id, rc, d): squared distances of all nodes to all clusters' centers, a row of which is (k x dim) numbers."""
+    whole = means.groupBy("rc").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]).alias("c"))
+    listed = whole.agg(F.collect_list(F.struct("rc", "c")).alias("all"))
+    each = vectors.join(F.broadcast(listed)).select("node_id", "v", F.explode("all").alias("m"))
+    d = F.aggregate(F.zip_with("v", "m.c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
+    return each.select("node_id", F.col("m.rc").alias("rc"), d.alias("d"))
+
+
+def icm_objective(inc: DataFrame, vectors: DataFrame, nodes: DataFrame, means: DataFrame, weights: DataFrame, alpha: float) -> DataFrame:
+    """One row: squared distances of nodes to their clusters' centers, and alpha times the weight of hyperedges by pairs of members in different clusters."""
+    far = _distances(vectors, means).join(nodes, ["node_id", "rc"]).agg(F.coalesce(F.sum("d"), F.lit(0.0)).alias("far"))
+    c = inc.join(nodes, "node_id").groupBy("edge_id", "rc").agg(F.count(F.lit(1)).alias("n"))
+    pairs = c.groupBy("edge_id").agg(F.sum("n").alias("q"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("same"))
+    apart = pairs.join(weights, "edge_id").agg(F.coalesce(F.sum(F.col("weight") * (F.col("q") * (F.col("q") - 1) / 2 - F.col("same"))), F.lit(0.0)).alias("apart"))
+    return far.join(F.broadcast(apart)).select((F.col("far") + alpha * F.col("apart")).alias("objective"))
+
+
+def icm_move(inc: DataFrame, vectors: DataFrame, nodes: DataFrame, means: DataFrame, weights: DataFrame, alpha: float) -> DataFrame:
+    """(node_id, label): each node's cheapest cluster, the lowest on ties: squared distance, and alpha times, over its hyperedges, the weight by other members in other clusters."""
+    w = inc.join(weights, "edge_id")
+    c = inc.join(nodes, "node_id").groupBy("edge_id", "rc").agg(F.count(F.lit(1)).alias("n"))
+    size = inc.groupBy("edge_id").agg(F.count(F.lit(1)).alias("q"))
+    every = w.join(size, "edge_id").groupBy("node_id").agg(F.sum(F.col("weight") * (F.col("q") - 1)).alias("every"), F.sum("weight").alias("own"))
+    with_it = w.join(c, "edge_id").groupBy("node_id", "rc").agg(F.sum(F.col("weight") * F.col("n")).alias("near"))
+    mine = nodes.withColumnRenamed("rc", "mine")
+    x = _distances(vectors, means).join(mine, "node_id").join(every, "node_id", "left").join(with_it, ["node_id", "rc"], "left").fillna(0.0, ["every", "own", "near"])
+    others = F.col("every") - F.col("near") + F.when(F.col("rc") == F.col("mine"), F.col("own")).otherwise(0.0)
+    return x.groupBy("node_id").agg(F.min_by("rc", F.struct(F.round(F.col("d") + alpha * others, 9).alias("cost"), "rc")).alias("label"))
 
 
 def homogeneity_cost(inc: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -195,10 +265,46 @@ def knn_hypergraph(points: DataFrame, k: int, block: int = 512) -> DataFrame:
     return found.withColumn("rank", nth).filter(F.col("rank") <= k).select("vec_id", "neighbor_id", "rank", "d")
 
 
+def sparse_neighbours(inc: DataFrame, k: int) -> DataFrame:
+    """(node_id, neighbor_id, rank, d): the k nearest other nodes by squared distance of incidence rows, ties to the smaller id.
+
+    Rows of nodes that share no hyperedge are as far apart as their sizes add up to, so beside the nodes that share one
+    only the first k of the others by size count: those are among the first k + (nodes that share one) of all.
+    """
+    size = inc.groupBy("node_id").agg(F.count(F.lit(1)).alias("s"))
+    other = inc.select("edge_id", F.col("node_id").alias("neighbor_id"))
+    both = inc.join(other, "edge_id").filter("node_id <> neighbor_id").groupBy("node_id", "neighbor_id").agg(F.count(F.lit(1)).alias("both"))
+    of = size.select(F.col("node_id").alias("neighbor_id"), F.col("s").alias("t"))
+    near = both.join(size, "node_id").join(of, "neighbor_id").select("node_id", "neighbor_id", (F.col("s") + F.col("t") - 2 * F.col("both")).alias("d"))
+    met = both.groupBy("node_id").agg(F.count(F.lit(1)).alias("met"))
+    from .relational import positions
+
+    placed = positions(size, [F.col("s"), F.col("node_id")]).select(F.col("node_id").alias("neighbor_id"), F.col("s").alias("t"), "position")
+    wanted = size.join(met, "node_id", "left").withColumn("position", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("met", F.lit(0)) + k)))
+    far = wanted.join(placed, "position").filter("node_id <> neighbor_id").join(both, ["node_id", "neighbor_id"], "left_anti")
+    far = far.select("node_id", "neighbor_id", (F.col("s") + F.col("t")).alias("d"))
+    nth = F.row_number().over(Window.partitionBy("node_id").orderBy("d", "neighbor_id"))
+    return near.union(far).withColumn("rank", nth).filter(F.col("rank") <= k).select("node_id", "neighbor_id", "rank", F.col("d").cast("double").alias("d"))
+
+
+def affinity(neighbours: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b, w), degrees (a, degree)) of the hypergraph whose hyperedges are each node and its neighbours (node_id, neighbor_id, d).
+
+    A hyperedge weighs the sum over its members of exp(-d / mean d), itself with d = 0; all alike weigh 1. A pair's
+    affinity is the sum over the hyperedges that hold both, itself with itself too, of weight / size; a node's degree is
+    the sum of its hyperedges' weights.
+    """
+    own = neighbours.select(F.col("node_id").alias("e")).distinct().withColumns({"a": F.col("e"), "d": F.lit(0.0)})
+    members = neighbours.select(F.col("node_id").alias("e"), F.col("neighbor_id").alias("a"), "d").union(own)
+    scale = members.withColumn("mean", F.avg("d").over(Window.partitionBy("e")))
+    w = scale.groupBy("e").agg(F.sum(F.when(F.col("mean") > 0, F.exp(-F.col("d") / F.col("mean"))).otherwise(1.0)).alias("w"), F.count(F.lit(1)).alias("n"))
+    m = members.join(w, "e").select("e", "a", "w", "n")
+    pairs = m.join(m.select("e", F.col("a").alias("b")), "e").groupBy("a", "b").agg(F.sum(F.col("w") / F.col("n")).alias("w"))
+    return pairs, m.groupBy("a").agg(F.sum("w").alias("degree"))
+
+
 def knn_weights(neighbours: DataFrame) -> DataFrame:
-    """(vec_id, weight): the neighbour hyperedge of a point: the sum over it and its neighbours of exp(-d / mean d); 1 per member if all are equal."""
-    d = neighbours.withColumn("mean", F.avg("d").over(Window.partitionBy("vec_id")))
+    """(vec_id, weight): the neighbour hyperedge of a point: the sum over it and its neighbours of exp(-d / mean d), itself with 0; 1 per member if all are equal."""
+    d = neighbours.withColumn("mean", F.sum("d").over(Window.partitionBy("vec_id")) / (F.count(F.lit(1)).over(Window.partitionBy("vec_id")) + 1))
     e = F.when(F.col("mean") > 0, F.exp(-F.col("d") / F.col("mean"))).otherwise(1.0)
     return d.groupBy("vec_id").agg((1 + F.sum(e)).alias("weight"))
-
-

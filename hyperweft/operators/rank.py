@@ -30,10 +30,32 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int, damping: float
     return rank
 
 
-def graph_pagerank(clique: DataFrame, nodes: DataFrame, iterations: int, **options) -> DataFrame:
-    """On the undirected clique projection (src, dst, w)."""
-    both = clique.union(clique.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-    return pagerank(nodes, both, iterations, **options)
+def graph_pagerank(inc: DataFrame, nodes: DataFrame, iterations: int, weights: DataFrame | None = None, damping: float = 0.85, tolerance: float | None = None) -> DataFrame:
+    """pagerank() on the undirected clique projection of an incidence, whose links are never made.
+
+    A link's weight is that of the hyperedges shared, so a node's neighbours give it, through each of its hyperedges, the
+    sum of rank / out over all members, less its own part. Two hops over the incidence make an iteration. nodes (node_id):
+    also those without hyperedges; weights (edge_id, weight): 1 each by default.
+    """
+    n = nodes.count()
+    w = inc.select("edge_id", "node_id")
+    w = w.withColumn("weight", F.lit(1)) if weights is None else w.join(weights, "edge_id")
+    w = cut(w.join(inc.groupBy("edge_id").agg(F.count(F.lit(1)).alias("q")), "edge_id"))
+    own = w.groupBy("node_id").agg(F.sum(F.col("weight") * (F.col("q") - 1)).alias("out"), F.sum("weight").alias("own"))
+    state = nodes.select("node_id").distinct().join(own, "node_id", "left").fillna(0, ["out", "own"])
+    state = cut(state.withColumn("rank", F.lit(1.0 / n)))
+    w = w.select("edge_id", "node_id", "weight")
+    for _ in range(iterations):
+        lost = state.agg(F.coalesce(F.sum(F.when(F.col("out") == 0, F.col("rank"))), F.lit(0.0))).first()[0]
+        part = F.when(F.col("out") > 0, F.col("rank") / F.col("out")).otherwise(0.0)
+        held = w.join(state.select("node_id", part.alias("part")), "node_id").groupBy("edge_id").agg(F.sum("part").alias("held"))
+        got = w.join(held, "edge_id").groupBy("node_id").agg(F.sum(F.col("weight") * F.col("held")).alias("got"))
+        new = state.join(got, "node_id", "left").withColumn("got", F.coalesce("got", F.lit(0.0)) - F.col("own") * part)
+        new = cut(new.select("node_id", "out", "own", ((1 - damping) / n + damping * (F.col("got") + lost / n)).alias("rank"), F.col("rank").alias("old")))
+        state = new.drop("old")
+        if tolerance is not None and (new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0) < tolerance:
+            break
+    return state.select("node_id", "rank")
 
 
 def expand(ranks: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -41,14 +63,21 @@ def expand(ranks: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(ranks.withColumnRenamed("node_id", "rc"), "rc").select("node_id", "rank")
 
 
-def bipartite_pagerank(bipartite: DataFrame, iterations: int, **options) -> DataFrame:
-    """On the directed graph from nodes to hyperedges, whose hyperedges are sinks; ranks of the nodes."""
-    every = bipartite.select(F.col("src").alias("node_id")).union(bipartite.select("dst")).distinct()
-    return pagerank(every, bipartite, iterations, **options).join(bipartite.select(F.col("src").alias("node_id")).distinct(), "node_id", "left_semi")
+def bipartite_pagerank(inc: DataFrame, iterations: int, **options) -> DataFrame:
+    """On the directed graph from nodes to hyperedges, whose hyperedges are sinks; ranks of the nodes. Even numbers stand for nodes, odd ones for hyperedges."""
+    links = cut(inc.select(F.shiftleft("node_id", 1).alias("src"), (F.shiftleft("edge_id", 1) + 1).alias("dst"), F.lit(1).alias("w")))
+    every = links.select(F.col("src").alias("node_id")).union(links.select("dst")).distinct()
+    return pagerank(every, links, iterations, **options).filter("node_id % 2 = 0").select(F.shiftright("node_id", 1).alias("node_id"), "rank")
+
+
+def diffusion(inc: DataFrame, weights: DataFrame, start: int, steps: int, **options) -> DataFrame:
+    """(node_id, x) of diffusions() from one node."""
+    seeds = inc.sparkSession.createDataFrame([(start,)], "node_id long")
+    return diffusions(inc, weights, seeds, steps, **options).select("node_id", "x")
 
 
-def diffusion(inc: DataFrame, weights: DataFrame, start: int, steps: int, teleport: float = 0.15, cutoff: float = 1e-5, tie: float = 1e-8, active_only: bool = True) -> DataFrame:
-    """(node_id, x) of the nonzero values after `steps` of personalized diffusion from `start`.
+def diffusions(inc: DataFrame, weights: DataFrame, seeds: DataFrame, steps: int, teleport: float = 0.15, cutoff: float = 1e-5, tie: float = 1e-8, active_only: bool = True) -> DataFrame:
+    """(seed, node_id, x) of the nonzero values after `steps` of personalized diffusion from each of seeds (node_id), all at once.
 
     In each step each active hyperedge moves its weight times the difference of its largest and smallest x / weighted
     degree, from all that tie for the largest to all that tie for the smallest. Values below the cutoff then become 0, and
@@ -56,21 +85,30 @@ def diffusion(inc: DataFrame, weights: DataFrame, start: int, steps: int, telepo
     """
     w = cut(inc.join(weights, "edge_id").select("edge_id", "node_id", "weight"))
     m = cut(w.join(w.groupBy("node_id").agg(F.sum("weight").alias("wd")), "node_id"))
-    spark = inc.sparkSession
-    x = cut(spark.createDataFrame([(start, 1.0)], "node_id long, x double"))
-    awake = cut(m.filter(F.col("node_id") == start).select("edge_id").distinct() if active_only else m.select("edge_id").distinct())
+    seeds = cut(seeds.select(F.col("node_id").alias("seed")).distinct())
+    x = cut(seeds.select("seed", F.col("seed").alias("node_id"), F.lit(1.0).alias("x")))
+    beside = lambda nodes: nodes.join(m, "node_id").select("seed", "edge_id").distinct()
+    every = m.select("edge_id").distinct().withColumn("seeds", F.lit(None))
+    awake = cut(beside(x.select("seed", "node_id")) if active_only else every.join(F.broadcast(seeds.agg(F.collect_list("seed").alias("all")))).select(F.explode("all").alias("seed"), "edge_id"))
     for _ in range(steps):
-        y = m.join(awake, "edge_id", "left_semi").join(x, "node_id", "left").withColumn("y", F.coalesce("x", F.lit(0.0)) / F.col("wd"))
-        ends = y.groupBy("edge_id").agg(F.max("y").alias("hi"), F.min("y").alias("lo"))
-        y = cut(y.join(ends, "edge_id").withColumns({"top": (F.col("y") > F.col("hi") - tie).cast("int"), "low": (F.col("y") < F.col("lo") + tie).cast("int")}))
-        ties = y.groupBy("edge_id").agg(F.sum("top").alias("tops"), F.sum("low").alias("lows"))
+        y = awake.join(m, "edge_id").join(x, ["seed", "node_id"], "left").withColumn("y", F.coalesce("x", F.lit(0.0)) / F.col("wd"))
+        ends = y.groupBy("seed", "edge_id").agg(F.max("y").alias("hi"), F.min("y").alias("lo"))
+        y = cut(y.join(ends, ["seed", "edge_id"]).withColumns({"top": (F.col("y") > F.col("hi") - tie).cast("int"), "low": (F.col("y") < F.col("lo") + tie).cast("int")}))
+        ties = y.groupBy("seed", "edge_id").agg(F.sum("top").alias("tops"), F.sum("low").alias("lows"))
         flow = F.col("weight") * (F.col("hi") - F.col("lo")) * (F.col("top") / F.col("tops") - F.col("low") / F.col("lows"))
-        moved = y.join(ties, "edge_id").groupBy("node_id").agg(F.sum(flow).alias("l"))
-        new = x.join(moved, "node_id", "full").select("node_id", F.coalesce("x", F.lit(0.0)).alias("x"), F.coalesce("l", F.lit(0.0)).alias("l"))
-        home = F.when(F.col("node_id") == start, 1.0).otherwise(0.0)
+        moved = y.join(ties, ["seed", "edge_id"]).groupBy("seed", "node_id").agg(F.sum(flow).alias("l"))
+        new = x.join(moved, ["seed", "node_id"], "full").select("seed", "node_id", F.coalesce("x", F.lit(0.0)).alias("x"), F.coalesce("l", F.lit(0.0)).alias("l"))
+        home = F.when(F.col("node_id") == F.col("seed"), 1.0).otherwise(0.0)
         new = cut(new.withColumn("new", F.col("x") - (1 - teleport) * F.col("l") - teleport * (F.col("x") - home)).filter(F.col("new") >= cutoff))
         if active_only:
-            fresh = m.join(new.filter("x = 0").select("node_id"), "node_id", "left_semi").select("edge_id")
-            awake = cut(awake.union(fresh).distinct())
-        x = new.select("node_id", F.col("new").alias("x"))
+            awake = cut(awake.union(beside(new.filter("x = 0").select("seed", "node_id"))).distinct())
+        x = new.select("seed", "node_id", F.col("new").alias("x"))
     return x
+
+
+def personalized_in_summary(superinc: DataFrame, weights: DataFrame, nodes: DataFrame, seeds: DataFrame, steps: int, **options) -> DataFrame:
+    """(seed, node_id, x): diffusions() on a summary from the supernodes of seeds; each node has its supernode's value. nodes (node_id, rc)."""
+    homes = nodes.join(seeds.select("node_id"), "node_id").select(F.col("node_id").alias("seed"), "rc")
+    x = diffusions(superinc, weights, homes.select(F.col("rc").alias("node_id")).distinct(), steps, **options)
+    x = homes.join(x.select(F.col("seed").alias("rc"), F.col("node_id").alias("to"), "x"), "rc")
+    return x.join(nodes.withColumnRenamed("rc", "to"), "to").select("seed", "node_id", "x")

@@ -73,6 +73,31 @@ def degree(inc: DataFrame) -> DataFrame:
     return pairs.groupBy("node_id").agg((F.count(F.lit(1)) - 1).alias("value"))
 
 
+def positions(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """df with a number from 0 by `order`: rows are sorted in ranges, and counted within them after those before. No task has all rows."""
+    from ..plans.lineage import cut
+
+    part = F.shiftright("seq", 33)
+    d = cut(df.orderBy(*order).withColumn("seq", F.monotonically_increasing_id()))
+    counts = d.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("c"))
+    up = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)  # a row per range
+    counts = counts.withColumn("before", F.sum("c").over(up) - F.col("c")).drop("c")
+    d = d.withColumn("part", part).join(F.broadcast(counts), "part")
+    # Ids count on within a range.
+    return d.withColumn(name, (F.col("seq") - F.shiftleft("part", 33) + F.col("before")).cast("long")).drop("seq", "part", "before")
+
+
+def cumulative(df: DataFrame, group: list[str], order: str, value: str, name: str = "total") -> DataFrame:
+    """df with the running sum of a value by group and order; equal places count one by one, by value."""
+    return df.withColumn(name, F.sum(value).over(Window.partitionBy(*group).orderBy(order, value).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def with_isolated(nodes: DataFrame, inc: DataFrame) -> DataFrame:
+    """(node_id, isolated): all nodes of both, and whether no hyperedge has them."""
+    members = inc.select("node_id").distinct().withColumn("isolated", F.lit(False))
+    return members.union(nodes.select("node_id").distinct().join(inc, "node_id", "left_anti").withColumn("isolated", F.lit(True)))
+
+
 def dedup_weighted(inc: DataFrame, weights: DataFrame) -> DataFrame:
     """Equal hyperedges merged: (members, weight, copies), weights summed."""
     lists = inc.groupBy("edge_id").agg(as_list(F.collect_list("node_id")).alias("members"))
@@ -125,7 +150,7 @@ def binary(values: DataFrame) -> DataFrame:
 def first_seen_labels(labelled: DataFrame, order: str, label: str) -> DataFrame:
     """labelled with new_label: labels numbered from 0 in the order in which they first occur."""
     firsts = labelled.groupBy(label).agg(F.min(order).alias("first"))
-    firsts = firsts.withColumn("new_label", (F.row_number().over(Window.orderBy("first", label)) - 1).cast("long"))
+    firsts = positions(firsts, [F.col("first"), F.col(label)], "new_label")
     return labelled.join(firsts.drop("first"), label)
 
 

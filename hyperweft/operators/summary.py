@@ -63,6 +63,21 @@ def consolidated(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     return edge_to_superedge(blocks, edges).groupBy("se_id", "members").agg(F.sum("ny").alias("weight"))
 
 
+def as_hypergraph(blocks: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(incidence, weights) of the summary itself: supernodes as nodes, its different nonempty superedges as hyperedges, weighted by the hyperedges that they stand for."""
+    c = consolidated(blocks, edges).filter("members <> ''")
+    inc = c.select(F.col("se_id").alias("edge_id"), F.explode(F.split("members", ",").cast("array<long>")).alias("node_id"))
+    return inc, c.select(F.col("se_id").alias("edge_id"), "weight")
+
+
+def longest_first(lists: DataFrame, members: str = "members", sep: str = ",") -> DataFrame:
+    """lists with position: longer ones first, then by text."""
+    size = F.when(F.col(members) == "", 0).otherwise(F.size(F.split(members, sep)))
+    from .relational import positions
+
+    return positions(lists.withColumn("size", size), [F.desc("size"), F.col(members)]).drop("size")
+
+
 def templates(blocks: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(edge_id, node_id) that the summary gives without corrections."""
     return edges.join(superedges(blocks).withColumnRenamed("se_id", "cc"), "cc").join(nodes.withColumnRenamed("rc", "sn_id"), "sn_id").select("edge_id", "node_id")

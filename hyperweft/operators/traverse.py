@@ -64,23 +64,26 @@ def khop_in_summary(superinc: DataFrame, nodes: DataFrame, sources: DataFrame, k
 def connected_components(inc: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node_id, comp): comp is the component's smallest node. nodes: also those without hyperedges, each its own.
 
-    Labels spread through hyperedges and jump to their labels' labels, so rounds grow as the logarithm of paths.
+    Each hyperedge links its members to its smallest one; links then contract by alternating large and small stars, in
+    which nodes of many links are never met in pairs, until nothing changes.
     """
     every = inc.select("node_id").distinct() if nodes is None else nodes.select("node_id").union(inc.select("node_id")).distinct()
-    labels = cut(every.withColumn("comp", F.col("node_id")))
+    least = inc.groupBy("edge_id").agg(F.min("node_id").alias("b"))
+    links = inc.join(least, "edge_id").select(F.col("node_id").alias("a"), "b").filter("a <> b").distinct()
+    links, seen = cut(links), None
     while True:
-        edge_min = inc.join(labels, "node_id").groupBy("edge_id").agg(F.min("comp").alias("m"))
-        node_min = inc.join(edge_min, "edge_id").groupBy("node_id").agg(F.min("m").alias("m"))
-        # A label's own node is told, too, and all then take their label's label.
-        told = labels.join(node_min, "node_id", "left").select("node_id", "comp", F.least("comp", "m").alias("m"))
-        better = told.groupBy(F.col("comp").alias("node_id")).agg(F.min("m").alias("better"))
-        step = told.join(better, "node_id", "left").select("node_id", F.least("m", "better").alias("comp"))
-        jump = step.select(F.col("node_id").alias("comp"), F.col("comp").alias("up"))
-        new = cut(step.join(jump, "comp", "left").select("node_id", F.least("comp", "up").alias("comp")))
-        changed = not new.join(labels, ["node_id", "comp"], "left_anti").isEmpty()
-        labels = new
-        if not changed:
-            return labels
+        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        lowest = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.filter("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(lowest, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        links = cut(small.union(lowest.select("a", F.col("m").alias("b"))).distinct())
+        # Two 64-bit sums of hashes tell whether anything changed.
+        mark = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
+        if mark == seen:
+            break
+        seen = mark
+    return every.join(links.withColumnRenamed("a", "node_id"), "node_id", "left").select("node_id", F.coalesce("b", "node_id").alias("comp"))
 
 
 def closeness(inc: DataFrame, sources: DataFrame, n: int) -> DataFrame:

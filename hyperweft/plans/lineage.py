@@ -12,11 +12,14 @@ def shared_path(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="hyperweft-"))
+        top = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not top and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(top or "file://" + tempfile.mkdtemp(prefix="hyperweft-"))
     return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed to spark.checkpoint.dir; a local temporary folder is set only where that is unset (tests)."""
+    """df checkpointed to spark.checkpoint.dir. Where that is unset, a local run (a test) gets a temporary folder and a cluster an error."""
     shared_path(df.sparkSession)
     return df.checkpoint(eager=True)

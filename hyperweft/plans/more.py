@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..operators import cocluster, influence, metrics, relational, seeds, summar
 from ..sources import files, tables
 from . import runners
 from .lineage import shared_path
-from .queries import BLOCKS, MIXED, ORDER, TEMPLATE, _corrections, mixed, query
+from .queries import BLOCKS, MIXED, ORDER, ORDER_W, TEMPLATE, _corrections, mixed, query
 
 # Measures
 
@@ -199,10 +201,27 @@ POINTS = f"""{ORDER}, dg as (select a.v, count(distinct b.v) - 1 m from inc a jo
 pt as (select v id, round(m / (select count(*) from hd), 6) f1, round(((select max(s) from hd) + 1 - s) / (select max(s) from hd), 6) f2 from dg join hd using (v))"""
 
 
-@query(f"with {ORDER}, q as (select e, count(*) q from inc group by 1) select round(avg(q), 6) mean, round(stddev_pop(q), 6) std, cast(sum(q * (q - 1)) as bigint) attempts from q")
+NATIONS = "inc as (select c_nationkey e, c_custkey v from customer), sd as (select v, e from inc order by v limit 3), q as (select e, count(*) q from inc group by 1), sq as (select e, count(*) k from sd group by 1)"
+
+
+def _nations(spark, folder) -> DataFrame:
+    return tables.table(spark, folder, "customer").select(F.col("c_nationkey").alias("edge_id"), F.col("c_custkey").alias("node_id"))
+
+
+@query(f"with {NATIONS} select cast(sum(q) as double) mean, 0.0 std, cast(100 * sum(k * (q - k)) as bigint) attempts from sq join q using (e)")
 def im_mc_stats(spark, folder):
-    q = tables.order_incidence(spark, folder).groupBy(F.col("edge_id").alias("sim")).agg(F.count(F.lit(1)).alias("infected"))
-    return influence.simulation_stats(q.withColumn("attempts", F.col("infected") * (F.col("infected") - 1)))
+    """100 simulations where each node has one hyperedge and each attempt succeeds, so that SQL knows the outcome."""
+    inc = _nations(spark, folder)
+    return influence.simulation_stats(influence.contact_process(inc, _first_nodes(inc), 100, 5, 1.0, 1.0))
+
+
+@query(f"with {NATIONS}, n as (select count(*) n from inc) select i id, round((select q from inc join q using (e) where v = i) / n, 6) f1 from (select distinct v i from inc order by v limit 10), n")
+def im_evaluate(spark, folder):
+    """The search's evaluator, on ten candidates of one node each, in a job: as in im_mc_stats, all of a nation are reached."""
+    inc = _nations(spark, folder)
+    picked = [r["node_id"] for r in _first_nodes(inc, 10).collect()]
+    shares, _ = seeds.evaluate(inc, [(x,) for x in picked], inc.count(), "sicp", 100, 5, p_min=1.0, p_max=1.0)
+    return spark.createDataFrame([(i, round(f, 6)) for i, f in zip(picked, shares, strict=True)], "id long, f1 double")
 
 
 @query(f"with {POINTS} select id, f1, f2 from pt")
@@ -244,7 +263,9 @@ def im_wc(spark, folder):
 
 @query()
 def im_search(spark, folder):
-    return seeds.search(tables.order_incidence(spark, folder), most=4, population=4, offspring=4, generations=1, sims=4, hops=2)
+    """Archive and last population; fewer candidates, generations and simulations than the operator's defaults."""
+    found, last, _ = seeds.search(tables.order_incidence(spark, folder), most=10, population=6, offspring=6, generations=1, sims=5, hops=3, mutation_kind="mix")
+    return found.withColumn("kind", F.lit("archive")).union(last.withColumn("kind", F.lit("population")))
 
 
 @query(
@@ -260,14 +281,28 @@ def upscale_seeds(spark, folder):
 # Searches for summaries: their results are checked by what must hold
 
 
-@query()
+def _scrambled(key: str, seed: int) -> str:
+    return f"((({key}) + {seed}) * 2654435761) % 4294967296"
+
+
+def _groups_sql(rows: int, bands: int, key: str) -> str:
+    sigs = ", ".join("concat_ws(',', " + ", ".join([str(b), *[f"h{b * rows + i}" for i in range(rows)]]) + ")" for b in range(bands))
+    return f"s as (select {key}, unnest([{sigs}]) g from h), l as (select g, min({key}) l from s group by 1) select {key}{' edge_id' if key == 'e' else ''}, min(l) \"group\" from s join l using (g) group by 1"
+
+
+@query(f"with {ORDER}, h as (select e, " + ", ".join(f"min({_scrambled(f'v * {2 * i + 1}', 7919 * (i + 1))}) h{i}" for i in range(6)) + f" from inc group by 1), {_groups_sql(2, 3, 'e')}")
 def lsh_minhash_groups(spark, folder):
-    return cocluster.minhash_groups(tables.order_incidence(spark, folder), 2)
+    return cocluster.minhash_groups(tables.order_incidence(spark, folder), 2, bands=3)
 
 
-@query()
+def _normal(i: int) -> str:
+    u = lambda j: f"(({_scrambled(f'rc * {2 * i + 1}', 104729 * (2 * i + j + 1))}) + 0.5) / 4294967296.0"
+    return f"sqrt(-2 * ln({u(0)})) * cos({2 * math.pi!r} * ({u(1)}))"
+
+
+@query(f"with {BLOCKS}, h as (select cc, " + ", ".join(f"cast(sign(round(sum(dnz / (nx * ny) * {_normal(i)}), 9)) as int) h{i}" for i in range(12)) + f" from b group by 1), {_groups_sql(4, 3, 'cc')}")
 def lsh_cosine_groups(spark, folder):
-    return cocluster.cosine_groups(mixed(spark, folder)[3], 4)
+    return cocluster.cosine_groups(mixed(spark, folder)[3], 4, bands=3)
 
 
 def _invariants(inc: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -289,17 +324,29 @@ def _invariants(inc: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame
 HOLDS = "select true nodes_once, true edges_once, true counts_add_up, true lossless"
 
 
-@query(HOLDS + ", true cost_falls")
-def hydra_invariants(spark, folder):
-    inc = tables.order_incidence(spark, folder)
-    nodes, edges, costs = cocluster.search(inc, "hydra", max_rounds=1)
-    return _invariants(inc, nodes, edges).withColumn("cost_falls", F.lit(costs == sorted(costs, reverse=True)))
+@query(HOLDS + ", true cost_falls, true below_original")
+def storage_invariants(spark, folder):
+    """The search on the mixed hypergraph, in at most two rounds of each kind: its state holds, and its summary costs less than the original."""
+    inc = tables.mixed_incidence(spark, folder)
+    nodes, edges, costs = cocluster.search(inc, "storage", max_rounds=2, last_bands=10)
+    row = summary.evaluate(inc, nodes, edges).first()
+    return _invariants(inc, nodes, edges).withColumns({"cost_falls": F.lit(costs == sorted(costs, reverse=True)), "below_original": F.lit(row["cost"] < row["original_cost"])})
+
+
+@query("select true near_planted, true lossless")
+def storage_planted(spark, folder):
+    """A planted hypergraph, a part of its entries flipped: the search comes within a tenth of the planted summary's cost."""
+    inc, nodes, edges = runners.planted(spark, 4, 3, 8, 0.02)
+    best = summary.evaluate(inc, nodes, edges).first()["cost"]
+    n, e, _ = cocluster.search(inc, "storage", max_rounds=2, last_bands=10)
+    found = summary.evaluate(inc, n, e).first()["cost"]
+    return _invariants(inc, n, e).select(F.lit(found <= 1.1 * best).alias("near_planted"), "lossless")
 
 
 @query(HOLDS + ", true cost_falls")
 def coclus_invariants(spark, folder):
     inc = tables.mixed_incidence(spark, folder)
-    nodes, edges, costs = cocluster.search(inc, "mdl", max_rounds=1)
+    nodes, edges, costs = cocluster.search(inc, "mdl", max_rounds=1, last_bands=10)
     return _invariants(inc, nodes, edges).withColumn("cost_falls", F.lit(costs == sorted(costs, reverse=True)))
 
 
@@ -311,15 +358,42 @@ def random_clusters_equal(spark, folder):
 @query(HOLDS)
 def gahgc_invariants(spark, folder):
     inc = tables.mixed_incidence(spark, folder)
-    return _invariants(inc, *cocluster.gahgc(inc, 6, n_walks=2, length=4))
+    return _invariants(inc, *cocluster.gahgc(inc, 6, n_walks=4, length=6, max_iterations=1))
 
 
 @query(HOLDS + ", true objective_falls")
 def dhcc_invariants(spark, folder):
-    inc = tables.mixed_incidence(spark, folder)
-    nodes, edges, objective = cocluster.dhcc(inc, 4, 3, iterations=3)
-    falls = all(a >= b - 1e-6 for a, b in zip(objective, objective[1:], strict=False))
-    return _invariants(inc, nodes, edges).withColumn("objective_falls", F.lit(falls))
+    inc, _, _ = runners.planted(spark, 4, 3, 6, 0.02)
+    nodes, edges, objective = cocluster.dhcc(inc, 4, 4, iterations=3)
+    return _invariants(inc, nodes, edges).withColumn("objective_falls", F.lit(objective[-1] <= objective[0] + 1e-6))
+
+
+NEIGHBOURS = """nat as (select distinct s_nationkey v, s_suppkey % 50 e from supplier), sz as (select v, count(*) s from nat group by 1), bo as (select a.v, b.v u, count(*) n from nat a join nat b using (e) where a.v <> b.v group by 1, 2),
+ds as (select x.v, y.v u, x.s + y.s - 2 * coalesce(n, 0) d from sz x join sz y on x.v <> y.v left join bo on bo.v = x.v and bo.u = y.v), kn as (select v, u, d::double d, row_number() over (partition by v order by d, u) k from ds)"""
+
+
+def _neighbours(spark, folder) -> DataFrame:
+    inc = tables.table(spark, folder, "supplier").select((F.col("s_suppkey") % 50).alias("edge_id"), F.col("s_nationkey").alias("node_id")).distinct()
+    return metrics.sparse_neighbours(inc, 3)
+
+
+@query(f"with {NEIGHBOURS} select v node_id, u neighbor_id, cast(k as int) \"rank\", d from kn where k <= 3")
+def sparse_neighbours(spark, folder):
+    return _neighbours(spark, folder)
+
+
+AFFINITY = f"""{NEIGHBOURS}, m as (select v e, u a, d from kn where k <= 3 union all select distinct v, v, 0 from kn), mm as (select e, avg(d) mean from m group by 1),
+w as (select e, sum(case when mean > 0 then exp(-d / mean) else 1 end) w, count(*) n from m join mm using (e) group by 1)"""
+
+
+@query(f"with {AFFINITY} select x.a, y.a b, round(sum(w / n), 6) w from m x join m y using (e) join w using (e) group by 1, 2")
+def knn_affinity(spark, folder):
+    return metrics.affinity(_neighbours(spark, folder))[0].withColumn("w", F.round("w", 6))
+
+
+@query(f"with {AFFINITY} select a, round(sum(w), 6) degree from m join w using (e) group by 1")
+def knn_vertex_degree(spark, folder):
+    return metrics.affinity(_neighbours(spark, folder))[1].withColumn("degree", F.round("degree", 6))
 
 
 @query(HOLDS)
@@ -329,6 +403,75 @@ def tau_invariants(spark, folder):
     return _invariants(inc, nodes, edges)
 
 
+TENSOR = """ev as (select user_id u, date_diff('day', date_trunc('day', min(ts) over ()), date_trunc('day', ts)) d, dense_rank() over (order by event_type) - 1 r from events), t as (select u, r, d, count(*) val from ev group by 1, 2, 3),
+cu as (select distinct u, u % 4 lu from t), cr as (select distinct r, r % 2 lr from t), cd as (select distinct d, d % 3 ld from t)"""
+
+
+def _tensor(spark, folder) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Events by user, rank of type and day, with fixed clusters of each."""
+    e = tables.table(spark, folder, "events")
+    first = e.agg(F.min(F.to_date("ts"))).first()[0]
+    ranks = {r["event_type"]: i for i, r in enumerate(e.select("event_type").distinct().orderBy("event_type").collect())}
+    r = F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv])[F.col("event_type")]
+    t = e.select(F.col("user_id").alias("u"), r.cast("long").alias("r"), F.datediff(F.to_date("ts"), F.lit(first)).cast("long").alias("d")).groupBy("u", "r", "d").agg(F.count(F.lit(1)).alias("val"))
+    return t, {m: t.select(m).distinct().withColumn("label", F.col(m) % k) for m, k in (("u", 4), ("r", 2), ("d", 3))}
+
+
+@query(
+    f"""with {TENSOR}, o as (select u, lr, ld, sum(val) val from t join cr using (r) join cd using (d) group by 1, 2, 3), z as (select lu, lr, ld, sum(val) z from o join cu using (u) group by 1, 2, 3), zy as (select lr, ld, sum(z) zy from z group by 1, 2), x as (select lu, sum(z) / (select sum(z) from z) s from z group by 1),
+g as (select u, x.lu, round(sum(val * (coalesce(z, 0) / zy - s)), 9) g from o join zy using (lr, ld) cross join x left join z on z.lu = x.lu and z.lr = o.lr and z.ld = o.ld group by 1, 2)
+select u, lu "label" from (select *, row_number() over (partition by u order by g desc, lu desc) k from g) where k = 1"""
+)
+def tensor_move(spark, folder):
+    t, held = _tensor(spark, folder)
+    return metrics.tensor_move(t, ["u", "r", "d"], "u", held)
+
+
+@query("select true every_item_once, true tau_rises")
+def tensor_invariants(spark, folder):
+    t, _ = _tensor(spark, folder)
+    held, (before, after), _ = cocluster.tensor_search(t, ["u", "r", "d"], [4, 2, 3], max_iterations=1, per_mode=3)
+    once = all(held[m].count() == t.select(m).distinct().count() for m in held)
+    total = lambda x: x.agg(F.sum("tau")).first()[0]
+    return spark.createDataFrame([(once, total(after) >= total(before) - 1e-9)], "every_item_once boolean, tau_rises boolean")
+
+
+ICM = f"""{ORDER_W}, nd as (select distinct v, v % 10 rc, [(v % 7)::double, (v % 11)::double] x from inc), cen as (select rc, avg(x[1]) c1, avg(x[2]) c2 from nd group by 1)"""
+
+
+def _icm(spark, folder) -> tuple:
+    inc = tables.order_incidence(spark, folder)
+    nodes = inc.select("node_id").distinct()
+    vectors = nodes.select("node_id", F.array((F.col("node_id") % 7).cast("double"), (F.col("node_id") % 11).cast("double")).alias("v"))
+    nodes = nodes.withColumn("rc", F.col("node_id") % 10)
+    return inc, vectors, nodes, metrics.centers(vectors, nodes), tables.order_weights(spark, folder)
+
+
+@query(
+    f"""with {ICM}, f as (select sum((x[1] - c1) ** 2 + (x[2] - c2) ** 2) f from nd join cen using (rc)), c as (select e, rc, count(*) n from inc join nd using (v) group by 1, 2), p as (select e, sum(n) q, sum(n * (n - 1) / 2) s from c group by 1)
+select round(f + 0.5 * sum(w * (q * (q - 1) / 2 - s)), 4) objective from p join ew using (e), f group by f"""
+)
+def icm_objective(spark, folder):
+    return metrics.icm_objective(*_icm(spark, folder), 0.5).select(F.round("objective", 4).alias("objective"))
+
+
+@query(
+    f"""with {ICM}, c as (select e, rc, count(*) n from inc join nd using (v) group by 1, 2), sz as (select e, count(*) q from inc group by 1), ev as (select v, sum(w * (q - 1)) a, sum(w) own from inc join sz using (e) join ew using (e) group by 1), nr as (select v, rc, sum(w * n) b from inc join ew using (e) join c using (e) group by 1, 2),
+k as (select nd.v, cen.rc, round((x[1] - c1) ** 2 + (x[2] - c2) ** 2 + 0.5 * (a - coalesce(b, 0) + case when cen.rc = nd.rc then own else 0 end), 9) k from nd cross join cen join ev on ev.v = nd.v left join nr on nr.v = nd.v and nr.rc = cen.rc)
+select v node_id, rc "label" from (select *, row_number() over (partition by v order by k, rc) o from k) where o = 1"""
+)
+def icm_move(spark, folder):
+    return metrics.icm_move(*_icm(spark, folder), 0.5)
+
+
+@query("select true objective_falls, true none_empty")
+def icm_invariants(spark, folder):
+    inc, vectors, nodes, _, weights = _icm(spark, folder)
+    found, history = cocluster.icm(inc, vectors, weights, 10, start=nodes, max_iterations=1)
+    falls = all(a >= b - 1e-6 for a, b in zip(history, history[1:], strict=False))
+    return found.agg((F.count_distinct("rc") == 10).alias("none_empty")).select(F.lit(falls).alias("objective_falls"), "none_empty")
+
+
 # Files and experiments
 
 
@@ -370,9 +513,21 @@ def tuning_select(spark, folder):
     return runners.select_candidate(_runs(spark).select("candidate", "dataset", "seed", "cost", "original", "seconds"))
 
 
-@query("with g as (select a, b, c from (values (1), (2), (3)) x(a), (values (10), (20)) y(b), (values (0.5), (0.25)) z(c)) select row_number() over (order by a, b, c desc) - 1 candidate, a::double alpha, b::double walks, c::double delta from g")
+def _sql_values(options: dict[str, list]) -> str:
+    return ", ".join(f"(select unnest({v}) {k})" for k, v in options.items())
+
+
+@query(
+    f"""with g as (select row_number() over (order by alpha, length, n_walks) - 1 candidate, alpha, length::double length, n_walks::double n_walks from {_sql_values(runners.FULL["gahgc"])}) select * from g"""
+)
 def candidate_grid(spark, folder):
-    return runners.candidate_grid(spark, {"alpha": [1, 2, 3], "walks": [10, 20], "delta": [0.5, 0.25]})
+    return runners.candidate_grid(spark, runners.FULL["gahgc"])
+
+
+@query("select 'dhcc' algorithm, 'compact' search, 4 * 4 n union all select 'dhcc', 'full', 10 * 7 * 7 union all select 'gahgc', 'compact', 1 + 3 * 2 union all select 'gahgc', 'full', 3 * 3 * 3")
+def candidate_counts(spark, folder):
+    rows = [(a, how, len(runners.candidates(a, how))) for a in ("dhcc", "gahgc") for how in ("compact", "full")]
+    return spark.createDataFrame(rows, "algorithm string, search string, n int")
 
 
 @query(f"with {VALUES}, w as (select d dataset, c candidate, s seed from (values ('a'), ('b')) x(d), (values (1), (2), (3)) y(c), (values (0), (1)) z(s)) select dataset, cast(candidate as bigint) candidate, cast(seed as bigint) seed from w where (dataset, candidate, seed) not in (select (dataset, candidate, seed) from runs where status = 'ok')")
@@ -398,8 +553,43 @@ def scalability_inputs(spark, folder):
     return runners.scalability_inputs(tables.order_incidence(spark, folder), (0.2, 0.6, 1.0))
 
 
-@query("select cast(1 as bigint) candidates, true status_ok")
+@query("select algorithm, cast(2 as bigint) runs, true ok, true cheaper from (values ('random'), ('storage'), ('tau')) t(algorithm)")
 def summarize_grid(spark, folder):
-    inc = tables.mixed_incidence(spark, folder)
-    g = runners.grid({"mixed": inc}, {"random": {"k": 4, "l": 4}}, [0])
-    return g.agg(F.count(F.lit(1)).alias("candidates"), (F.min("status") == "ok").alias("status_ok"))
+    """Three algorithms with two seeds on a planted hypergraph: all runs end well, none above twice the original's cost."""
+    inc, _, _ = runners.planted(spark, 4, 3, 6, 0.02)
+    g = runners.grid({"planted": inc}, {"random": {"k": 4, "l": 4}, "storage": {"max_rounds": 1, "last_bands": 5}, "tau": {"k": 4, "l": 4, "max_iterations": 2}}, [0, 1])
+    return g.groupBy("algorithm").agg(F.count(F.lit(1)).alias("runs"), (F.min("status") == "ok").alias("ok"), (F.max(F.col("cost") / F.col("original_cost")) < 2).alias("cheaper"))
+
+
+@query("select cast(f as double) fraction, s seed, 'ok' status, true improves from (select unnest([0.5, 1.0]) f), (select unnest([0, 1]) s)")
+def scalability_runs(spark, folder):
+    inc, _, _ = runners.planted(spark, 4, 3, 12, 0.02)
+    r = runners.scalability(inc, (0.5, 1.0), [0, 1], max_rounds=1, last_bands=5)
+    return r.select("fraction", F.col("seed").cast("int").alias("seed"), "status", ((F.col("improvement") > 0) & (F.col("column_rounds") > 0) & (F.col("seconds") > 0)).alias("improves"))
+
+
+@query("select cast(4 as bigint) runs, cast(0 as bigint) repeated, true best_is_least")
+def tuning_run(spark, folder):
+    """A tuning run that is resumed: two candidates with two seeds; the second call runs nothing again."""
+    inc, _, _ = runners.planted(spark, 3, 3, 6, 0.02)
+    options, path = [{"k": 2, "l": 2}, {"k": 9, "l": 3}], shared_path(spark)
+    before = runners.tune({"planted": inc}, "random", options, [0, 1], path)[0].count()
+    runs, best = runners.tune({"planted": inc}, "random", options, [0, 1], path)
+    means = runs.groupBy("candidate").agg(F.avg(F.col("cost") / F.col("original")).alias("m")).agg(F.min_by("candidate", "m").alias("c")).first()["c"]
+    row = (runs.count(), runs.count() - before, best.first()["candidate"] == means)
+    return spark.createDataFrame([row], "runs long, repeated long, best_is_least boolean")
+
+
+@query()
+def influence_run(spark, folder):
+    """A search on the summary of the mixed hypergraph, its sets upscaled to users and simulated there."""
+    inc, nodes, edges, blocks = mixed(spark, folder)
+    superinc, _ = summary.as_hypergraph(blocks, edges)
+    out = runners.influence_run(superinc, 3, original=inc, nodes=nodes, sims=4, hops=2, population=4, offspring=4, generations=1)
+    return out.select("kind", "id", "seeds", "seed_percent", "influenced_percent", "influenced_std")
+
+
+@query("select 'random' algorithm, 2 n, true above_planted")
+def synthetic_runs(spark, folder):
+    r = runners.synthetic(spark, [(4, 3, 6, 0.0)], {"random": {"k": 4, "l": 4}}, [0, 1])
+    return r.groupBy("algorithm").agg(F.count(F.lit(1)).cast("int").alias("n"), (F.min("increase") >= 0).alias("above_planted"))

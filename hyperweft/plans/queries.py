@@ -154,7 +154,7 @@ def num_corrections(spark, folder):
 
 
 @query(f"with {BLOCKS} select cast((select count(*) from ny) + count(*) filter (sel) + sum(case when sel then nx * ny - dnz else dnz end) as bigint) cost from b")
-def hydra_cost(spark, folder):
+def storage_cost(spark, folder):
     _, _, edges, blocks = mixed(spark, folder)
     return summary.matrix_cost(blocks, edges)
 
@@ -397,13 +397,13 @@ def _pagerank_sql(graph: str, nodes: str, iterations: int = 10, damping: float =
 
 GRAPH = ORDER + ", c as (select a.v src, b.v dst, count(*) w from inc a join inc b on a.e = b.e and a.v < b.v group by 1, 2), g as (select * from c union all select dst, src, w from c)"
 SUPER_GRAPH = SUPERINC + ", c as (select a.v src, b.v dst, cast(sum(ny) as bigint) w from sinc a join sinc b on a.e = b.e and a.v < b.v join ny on ny.cc = a.e group by 1, 2), g as (select * from c union all select dst, src, w from c)"
-BIPARTITE = ORDER + ", g as (select v src, (select count(distinct v) from inc) * 0 + 1000000000 + e dst, 1 w from inc)"
+BIPARTITE = ORDER + ", g as (select 'n' || v src, 'e' || e dst, 1 w from inc)"
 
 
 @query(_pagerank_sql(GRAPH, "select distinct v from inc") + " select v node_id, round(r, 6) rank from r10")
 def pagerank_graph(spark, folder):
     inc = tables.order_incidence(spark, folder)
-    return rank.graph_pagerank(relational.clique_projection(inc), inc.select("node_id").distinct(), 10).withColumn("rank", F.round("rank", 6))
+    return rank.graph_pagerank(inc, inc.select("node_id").distinct(), 10).withColumn("rank", F.round("rank", 6))
 
 
 @query(_pagerank_sql(SUPER_GRAPH, "select distinct rc v from nc") + " select nc.v node_id, round(r, 6) rank from nc join r10 on r10.v = nc.rc")
@@ -411,36 +411,80 @@ def pagerank_graph_summary(spark, folder):
     _, _, edges, _ = mixed(spark, folder)
     superinc, nodes = _super(spark, folder)
     weights = edges.groupBy(F.col("cc").alias("edge_id")).agg(F.count(F.lit(1)).alias("weight"))
-    clique = relational.clique_projection(superinc, weights)
-    ranks = rank.graph_pagerank(clique, nodes.select(F.col("rc").alias("node_id")).distinct(), 10)
+    ranks = rank.graph_pagerank(superinc, nodes.select(F.col("rc").alias("node_id")).distinct(), 10, weights)
     return rank.expand(ranks, nodes).withColumn("rank", F.round("rank", 6))
 
 
-@query(_pagerank_sql(BIPARTITE, "select distinct src v from g union select distinct dst from g") + " select v node_id, round(r, 6) rank from r10 where v < 1000000000")
+@query(_pagerank_sql(BIPARTITE, "select distinct src v from g union select distinct dst from g") + " select cast(substr(v, 2) as bigint) node_id, round(r, 6) rank from r10 where v like 'n%'")
 def pagerank_bipartite(spark, folder):
-    inc = tables.order_incidence(spark, folder)
-    shifted = inc.select((F.col("edge_id") + 1000000000).alias("edge_id"), "node_id")  # apart from the nodes
-    edges = shifted.select(F.col("node_id").alias("src"), F.col("edge_id").alias("dst"), F.lit(1).alias("w"))
-    return rank.bipartite_pagerank(edges, 10).withColumn("rank", F.round("rank", 6))
+    return rank.bipartite_pagerank(tables.order_incidence(spark, folder), 10).withColumn("rank", F.round("rank", 6))
 
 
-def _diffusion_sql(steps: int = 3, teleport: float = 0.15) -> str:
-    out = [ORDER_W, "m as (select e, v, w, sum(w) over (partition by v) wd from inc join ew using (e))", "st as (select min(v) s from inc)", "x0 as (select s v, 1.0::double x from st)", "act0 as (select distinct e from m, st where v = s)"]
+def _diffusion_sql(seeds: str, steps: int, teleport: float = 0.15) -> str:
+    """The diffusion from every node s of `seeds`, unrolled; inc(e, v) and ew(e, w) come before."""
+    out = ["m as materialized (select e, v, w, sum(w) over (partition by v) wd from inc join ew using (e))", f"st as materialized ({seeds})", "x0 as (select s, s v, 1.0::double x from st)", "act0 as materialized (select distinct s, e from m join st on v = s)"]
     for k in range(1, steps + 1):
         p = k - 1
         out += [
-            f"y{k} as materialized (select m.e, m.v, w, coalesce(x, 0) / wd y, max(coalesce(x, 0) / wd) over (partition by m.e) hi, min(coalesce(x, 0) / wd) over (partition by m.e) lo from m join act{p} using (e) left join x{p} using (v))",
-            f"z{k} as (select *, (y > hi - 1e-8)::int top, (y < lo + 1e-8)::int low, sum((y > hi - 1e-8)::int) over (partition by e) tops, sum((y < lo + 1e-8)::int) over (partition by e) lows from y{k})",
-            f"l{k} as (select v, sum(w * (hi - lo) * (top / tops - low / lows)) l from z{k} group by 1)",
-            f"w{k} as materialized (select v, coalesce(x, 0) x, coalesce(x, 0) - {1 - teleport} * coalesce(l, 0) - {teleport} * (coalesce(x, 0) - (v = s)::int) nw from x{p} full join l{k} using (v), st)",
-            f"x{k} as (select v, nw x from w{k} where nw >= 1e-5)",
-            f"act{k} as materialized (select e from act{p} union select e from m where v in (select v from w{k} where x = 0 and nw >= 1e-5))",
+            f"y{k} as materialized (select s, m.e, m.v, w, coalesce(x, 0) / wd y, max(coalesce(x, 0) / wd) over (partition by s, m.e) hi, min(coalesce(x, 0) / wd) over (partition by s, m.e) lo from m join act{p} using (e) left join x{p} using (s, v))",
+            f"z{k} as (select *, (y > hi - 1e-8)::int top, (y < lo + 1e-8)::int low, sum((y > hi - 1e-8)::int) over (partition by s, e) tops, sum((y < lo + 1e-8)::int) over (partition by s, e) lows from y{k})",
+            f"l{k} as (select s, v, sum(w * (hi - lo) * (top / tops - low / lows)) l from z{k} group by 1, 2)",
+            f"w{k} as materialized (select s, v, coalesce(x, 0) x, coalesce(x, 0) - {1 - teleport} * coalesce(l, 0) - {teleport} * (coalesce(x, 0) - (v = s)::int) nw from x{p} full join l{k} using (s, v))",
+            f"x{k} as (select s, v, nw x from w{k} where nw >= 1e-5)",
+            f"act{k} as materialized (select s, e from act{p} union select s, e from m join w{k} using (v) where x = 0 and nw >= 1e-5)",
         ]
-    return "with " + ", ".join(out) + f" select v node_id, round(x, 6) x from x{steps}"
+    return ", ".join(out)
+
+
+#: The nodes that searches start from, as relational.sample_nodes() takes them.
+SAMPLED = "select v s from (select distinct v from inc) order by (v * 2654435761) % 4294967296, v limit 100"
 
 
-@query(_diffusion_sql())
+@query(f"with {ORDER_W}, {_diffusion_sql(SAMPLED, 3)} select s seed, v node_id, round(x, 5) x from x3")
 def pagerank_hypergraph(spark, folder):
     inc = tables.order_incidence(spark, folder)
-    start = inc.agg(F.min("node_id")).first()[0]
-    return rank.diffusion(inc, tables.order_weights(spark, folder), start, 3).withColumn("x", F.round("x", 6))
+    seeds = relational.sample_nodes(inc, 100)
+    return rank.diffusions(inc, tables.order_weights(spark, folder), seeds, 3).withColumn("x", F.round("x", 5))
+
+
+SUMMARY_GRAPH = f"""{SUPER}, ow as (select se_id e, weight w from cons where members <> ''), home as (select v, rc from nc), pick as (select v from (select distinct v from inc) order by (v * 2654435761) % 4294967296, v limit 100),
+inc2 as (select se_id e, cast(unnest(string_split(members, ',')) as bigint) v from cons where members <> '')"""
+
+
+@query(f"with {SUPER} select se_id edge_id, cast(unnest(string_split(members, ',')) as bigint) node_id, weight from cons where members <> ''")
+def summary_hypergraph(spark, folder):
+    _, _, edges, blocks = mixed(spark, folder)
+    inc, weights = summary.as_hypergraph(blocks, edges)
+    return inc.join(weights, "edge_id")
+
+
+@query(
+    f"with {SUMMARY_GRAPH}, "
+    + _diffusion_sql("select distinct rc s from home join pick using (v)", 3).replace("from inc join ew using (e)", "from inc2 join ow using (e)")
+    + " select a.v seed, b.v node_id, round(x, 5) x from home a join pick on pick.v = a.v join x3 on x3.s = a.rc join home b on b.rc = x3.v"
+)
+def pagerank_hypergraph_summary(spark, folder):
+    inc, nodes, edges, blocks = mixed(spark, folder)
+    superinc, weights = summary.as_hypergraph(blocks, edges)
+    return rank.personalized_in_summary(superinc, weights, nodes, relational.sample_nodes(inc, 100), 3).withColumn("x", F.round("x", 5))
+
+
+# Lists and totals
+
+
+@query(f"with {ORDER}, l as (select e, string_agg(cast(v as varchar), ',' order by v) members, count(*) k from inc group by 1) select members, row_number() over (order by k desc, members) - 1 position from l")
+def longest_first(spark, folder):
+    lists = relational.hyperedge_lists(tables.order_incidence(spark, folder)).select("members")
+    return summary.longest_first(lists)
+
+
+@query("with o as (select o_orderpriority g, cast(o_orderdate as date) d, count(*) n from orders group by 1, 2) select g, d, n, cast(sum(n) over (partition by g order by d rows unbounded preceding) as bigint) total from o")
+def cumulative_totals(spark, folder):
+    o = tables.table(spark, folder, "orders").groupBy(F.col("o_orderpriority").alias("g"), F.col("o_orderdate").cast("date").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    return relational.cumulative(o, ["g"], "d", "n")
+
+
+@query("with o as (select distinct o_custkey v from orders where o_totalprice > 300000) select c_custkey node_id, c_custkey not in (select v from o) isolated from customer")
+def isolated_nodes(spark, folder):
+    inc = tables.table(spark, folder, "orders").filter("o_totalprice > 300000").select(F.col("o_orderkey").alias("edge_id"), F.col("o_custkey").alias("node_id"))
+    return relational.with_isolated(tables.table(spark, folder, "customer").select(F.col("c_custkey").alias("node_id")), inc)

@@ -3,25 +3,26 @@
 from __future__ import annotations
 
 import json
+import logging
 import re
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.relational import as_list
+from ..operators.relational import as_list, positions
+
+#: Lines of a range in which the heads above lines are looked up.
+RANGE = 100_000
 
 
 def read_hyperedges(spark: SparkSession, path: str, sep: str = ",", weighted: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(incidence, weights, nodes) of a text file with a hyperedge per line: nodes separated by sep, if weighted a whole
     number last. Nodes (node_id, node_key) are numbered as first seen; a node that repeats in a line counts once.
     """
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), "value").filter(F.trim("value") != "")
-    part = F.shiftright("line", 33)
-    starts = lines.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    starts = starts.withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    nth = F.row_number().over(Window.partitionBy("part").orderBy("line")) - 1
-    edges = lines.withColumn("part", part).withColumn("nth", nth).join(F.broadcast(starts), "part").withColumn("edge_id", (F.col("nth") + F.col("before")).cast("long"))
+    lines = _lines(spark, path).filter(F.trim("value") != "")
+    edges = positions(lines, [F.col("file"), F.col("start"), F.col("id")], "edge_id")
     tokens = F.transform(F.split("value", re.escape(sep)), lambda x: F.trim(x))
     edges = edges.select("edge_id", tokens.alias("tokens"))
     last = F.element_at("tokens", -1)
@@ -29,7 +30,7 @@ def read_hyperedges(spark: SparkSession, path: str, sep: str = ",", weighted: bo
     members = F.slice("tokens", F.lit(1), F.size("tokens") - 1) if weighted else F.col("tokens")
     each = edges.select("edge_id", F.posexplode(members).alias("pos", "node_key")).filter("node_key <> ''")
     firsts = each.groupBy("node_key").agg(F.min(F.struct("edge_id", "pos")).alias("first"))
-    nodes = firsts.select((F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("node_id"), "node_key")
+    nodes = positions(firsts, [F.col("first")], "node_id").select("node_id", "node_key")
     return each.join(nodes, "node_key").select("edge_id", "node_id").distinct(), weights, nodes
 
 
@@ -47,11 +48,9 @@ def summary_lines(nodes: DataFrame, consolidated: DataFrame, corrections: DataFr
     corrections (se_id, edge_id, plus, minus) with sorted comma-separated nodes; those without either are left out.
     Supernodes and superedges are numbered by their order, so members are rewritten to positions.
     """
-    from ..operators.relational import cluster_permutation
-
     v = nodes.groupBy("rc").agg(as_list(F.collect_list("node_id")).alias("value"))
-    v = cluster_permutation(v.withColumn("one", F.lit(0)), "rc", "one").withColumnRenamed("position", "k")
-    e = cluster_permutation(consolidated.withColumn("one", F.lit(0)), "se_id", "one").withColumnRenamed("position", "k")
+    v = positions(v, [F.col("rc")], "k")
+    e = positions(consolidated, [F.col("se_id")], "k")
     m = e.withColumn("rc", F.explode_outer(F.when(F.col("members") != "", F.split("members", ",")))).withColumn("rc", F.col("rc").cast("long"))
     m = m.join(v.select("rc", F.col("k").alias("sn")), "rc", "left").groupBy("se_id", "k", "weight").agg(as_list(F.collect_list("sn")).alias("members"))
     ev = F.when(F.col("members") == "", F.col("weight").cast("string")).otherwise(F.concat_ws(",", "members", F.col("weight").cast("string")))
@@ -70,29 +69,34 @@ def write_summary(lines: DataFrame, path: str) -> None:
     lines.repartitionByRange("section", "k", "j").sortWithinPartitions("section", "k", "j").select("value").write.mode("errorifexists").text(path)
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, start, id, value): lines, in the order of these; start is that of the part of the file that a task reads."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), "value")
+
+
 def read_summary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(supernodes (sn_id, node_key), superedges (se_id, members, weight), corrections (se_id, nth, plus, minus, weight)) of a summary file.
 
-    A section starts at a line that is just V, E or C. In section C a line without a comma names the superedge of those below.
+    Sections start at the first line that is just V, and at the last ones that are just E and C: nodes may be named so,
+    and then be supernodes of their own. In section C a line without a comma names the superedge of those below.
     """
-    lines = spark.read.text(path).withColumn("file", F.input_file_name()).withColumn("id", F.monotonically_increasing_id())
-    heads = {r["value"]: (r["file"], r["id"]) for r in lines.filter(F.col("value").isin("V", "E", "C")).orderBy("file", "id").collect()}
-    at = lambda x: (F.col("file") > heads[x][0]) | (F.col("file") == heads[x][0]) & (F.col("id") > heads[x][1])
-    order = Window.orderBy("file", "id")
-
-    def section(start: str, end: str | None) -> DataFrame:
-        rows = lines.filter(at(start))
-        if end:
-            rows = rows.filter(~at(end) & ~((F.col("file") == heads[end][0]) & (F.col("id") == heads[end][1])))
-        return rows.withColumn("nth", (F.row_number().over(order) - 1).cast("long"))
-
-    supernodes = section("V", "E").select(F.col("nth").alias("sn_id"), F.explode(F.split("value", " ")).alias("node_key"))
-    e = section("E", "C").withColumn("t", F.split("value", ","))
-    superedges = e.select(F.col("nth").alias("se_id"), F.array_join(F.slice("t", F.lit(1), F.size("t") - 1), ",").alias("members"), F.element_at("t", -1).cast("long").alias("weight"))
-    c = section("C", None).withColumn("head", F.when(~F.col("value").contains(","), F.trim("value").cast("long")))
-    c = c.withColumn("se_id", F.last("head", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("head is null")
+    lines = positions(_lines(spark, path), [F.col("file"), F.col("start"), F.col("id")], "line").select("line", "value")
+    of = lambda x: F.when(F.col("value") == x, F.col("line"))
+    v, e, c = lines.agg(F.min(of("V")), F.max(of("E")), F.max(of("C"))).first()
+    section = lambda start, end: lines.filter((F.col("line") > start) & (F.col("line") < end)).withColumn("nth", F.col("line") - start - 1)
+    supernodes = section(v, e).select(F.col("nth").alias("sn_id"), F.explode(F.split("value", " ")).alias("node_key"))
+    t = section(e, c).withColumn("t", F.split("value", ","))
+    superedges = t.select(F.col("nth").alias("se_id"), F.array_join(F.slice("t", F.lit(1), F.size("t") - 1), ",").alias("members"), F.element_at("t", -1).try_cast("long").alias("weight"))
+    rows = section(c, 2**62).withColumn("head", F.when(~F.col("value").contains(","), F.trim("value").try_cast("long")))
+    # The head above a line: within ranges of lines, and, for those before a range's first one, the last of the ranges before.
+    rows = rows.withColumn("range", F.floor(F.col("nth") / RANGE))
+    up = Window.partitionBy("range").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.groupBy("range").agg(F.max_by("head", F.when(F.col("head").isNotNull(), F.col("nth"))).alias("last"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    ends = ends.select("range", F.last("last", ignorenulls=True).over(before).alias("above"))
+    rows = rows.join(ends, "range").withColumn("se_id", F.coalesce(F.last("head", ignorenulls=True).over(up), "above")).filter("head is null")
     t = F.split("value", ",")
-    return supernodes, superedges, c.select("se_id", "nth", t[0].alias("plus"), t[1].alias("minus"), F.coalesce(F.get(t, F.lit(2)).cast("long"), F.lit(1).cast("long")).alias("weight"))
+    return supernodes, superedges, rows.select("se_id", "nth", t[0].alias("plus"), t[1].alias("minus"), F.coalesce(F.get(t, F.lit(2)).try_cast("long"), F.lit(1).cast("long")).alias("weight"))
 
 
 def summary_name(**parts) -> str:
@@ -141,9 +145,41 @@ def flag(value) -> bool:
 
 
 def write_result(df: DataFrame, path: str, kind: str = "csv") -> None:
-    """Replaces path by df's rows; Spark's committer lets whole files only appear."""
-    w = df.write.mode("overwrite")
-    (w.option("header", True).csv if kind == "csv" else w.parquet)(path)
+    """Replaces path by df's rows: they are written beside it, and only whole results take its place."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    made, old = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}", f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
+    w = df.write.mode("errorifexists")
+    (w.option("header", True).csv if kind == "csv" else w.parquet)(made)
+    at = jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(at(path)):
+        fs.rename(at(path), at(old))
+    if not fs.rename(at(made), at(path)):
+        raise OSError(f"{made} didn't take the place of {path}")
+    fs.delete(at(old), True)
+
+
+def append_result(df: DataFrame, path: str) -> None:
+    """Adds df's rows to the results at path; a run that fails midway adds none."""
+    df.write.mode("append").parquet(path)
+
+
+def trace_rows(spark: SparkSession, trace: list[tuple], **labels) -> DataFrame:
+    """A search's trace as a table: (round, side, rows, bands, seconds, change, kept), and the labels of its run on each row."""
+    out = spark.createDataFrame(trace, "round long, side string, rows long, bands long, seconds double, change double, kept boolean")
+    return out.withColumns({k: F.lit(v) for k, v in labels.items()}) if labels else out
+
+
+def run_log(name: str, path: str | None = None) -> logging.Logger:
+    """A logger that writes time, level and message to the console, or to a file."""
+    log = logging.getLogger(name)
+    if not log.handlers:
+        handler = logging.FileHandler(path) if path else logging.StreamHandler()
+        handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+        log.addHandler(handler)
+        log.setLevel(logging.INFO)
+    return log
 
 
 def remaining(wanted: DataFrame, done: DataFrame, keys: Iterable[str]) -> DataFrame:

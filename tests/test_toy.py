@@ -63,7 +63,7 @@ def test_summary(inc, clusters):
 
 
 def test_pagerank(inc):
-    r = rank.graph_pagerank(relational.clique_projection(inc), inc.select("node_id").distinct(), 20)
+    r = rank.graph_pagerank(inc, inc.select("node_id").distinct(), 20)
     want = ".069168 .087278 .111998 .085207 .065485 .057619 .121558 .119723 .059401 .069296 .076634 .076634"
     assert by_node(r, "rank") == pytest.approx([float(x) for x in want.split()], abs=1e-6)
 
@@ -105,13 +105,23 @@ def test_files(spark, tmp_path):
     assert [key[i] for i in range(3)] == ["b", "a", "c"]
     assert sorted((r["edge_id"], key[r["node_id"]]) for r in inc.collect()) == [(0, "a"), (0, "b"), (1, "a"), (1, "c"), (2, "b")]
     assert [r["weight"] for r in weights.orderBy("edge_id").collect()] == [3, 1, 2]
-    (tmp_path / "s.csv").write_text("V\na b\nc V\nE\n0,2\n1,1\nC\n0\nc,\n,a\n")
+    (tmp_path / "s.csv").write_text("V\na b\nc V\nV\nE\nC\nE\n0,2\n1,1\nC\n0\nc,\n,a\n")
     v, e, c = files.read_summary(spark, str(tmp_path / "s.csv"))
-    assert sorted((r["sn_id"], r["node_key"]) for r in v.collect()) == [(0, "a"), (0, "b"), (1, "V"), (1, "c")]
+    assert sorted((r["sn_id"], r["node_key"]) for r in v.collect()) == [(0, "a"), (0, "b"), (1, "V"), (1, "c"), (2, "V"), (3, "E"), (4, "C")]
     assert [(r["members"], r["weight"]) for r in e.orderBy("se_id").collect()] == [("0", 2), ("1", 1)]
     assert sorted((r["se_id"], r["plus"], r["minus"]) for r in c.collect()) == [(0, "", "a"), (0, "c", "")]
-    name = files.summary_name(data="x", algo="hydra", run=1)
-    assert files.parse_name(name) == {"data": "x", "algo": "hydra", "run": "1"} and files.to_kib("1.5M") == 1536
+    name = files.summary_name(data="x", algo="storage", run=1)
+    assert files.parse_name(name) == {"data": "x", "algo": "storage", "run": "1"} and files.to_kib("1.5M") == 1536
+
+
+def test_results_are_replaced(spark, tmp_path):
+    path = f"{tmp_path}/r"
+    for n in (3, 5):
+        files.write_result(spark.range(n), path, "parquet")
+        assert spark.read.parquet(path).count() == n
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["r"]
+    rows = files.trace_rows(spark, [(1, "columns", 20, 5, 0.1, -3.0, True)], dataset="x").collect()
+    assert rows[0]["dataset"] == "x" and rows[0]["change"] == -3.0
 
 
 def test_empty_incidence(spark):
