@@ -7,12 +7,12 @@ import time
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from . import metrics, summary
-from .relational import scrambled
+from .relational import PRIME, linear_hash, linear_terms
 
 #: Parts of a sweep in which nodes move at the same time.
 HALVES = 2
@@ -23,28 +23,41 @@ SLICES = 4096
 def minhash_groups(inc: DataFrame, rows: int, seed: int = 0, bands: int = 1) -> DataFrame:
     """(edge_id, group): hyperedges of the same `rows` least node hashes in some of `bands` bands.
 
-    The group is the smallest hyperedge that one shares a bucket with, in any band, so groups are disjoint. Hashes are the
-    arithmetic ones of samples, which any SQL engine can compute.
+    The group is the smallest hyperedge that one shares a bucket with, in any band, so groups are disjoint. Hashes are
+    linear ones, which any SQL engine can compute.
     """
-    each = [F.min(scrambled(F.col("node_id") * (2 * (seed * 1000 + i) + 1), 7919 * (i + 1))).alias(f"h{i}") for i in range(max(1, rows) * bands)]
-    sig = inc.groupBy("edge_id").agg(*each)
-    parts = [F.concat_ws(",", F.lit(b), *[F.col(f"h{b * rows + i}").cast("string") for i in range(rows)]) for b in range(bands)]
-    return _named(sig.select("edge_id", F.array(*parts).alias("sigs")), "edge_id") if rows else sig.select("edge_id", F.lit(0).cast("long").alias("group"))
+    if not rows:
+        return inc.select("edge_id").distinct().withColumn("group", F.lit(0).cast("long"))
+    each = inc.withColumn("i", _each(rows * bands)).groupBy("edge_id", "i").agg(F.min(_hashed("node_id", seed, rows * bands)).alias("h"))
+    return _named(each, "edge_id", rows)
+
+
+def _each(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
+def _hashed(key: str, seed: int, n: int, of: int = 1, nth: int = 0) -> Column:
+    """The hash number i, or of * i + nth, of an id, i being a column below n."""
+    terms = [linear_terms(seed * 1000 + of * i + nth) for i in range(n)]
+    pick = lambda k: F.element_at(F.array(*[F.lit(t[k]).cast("long") for t in terms]), F.col("i") + 1)
+    return linear_hash(F.col(key), pick(0), pick(1))
 
 
 def cosine_groups(blocks: DataFrame, rows: int, seed: int = 0, bands: int = 1) -> DataFrame:
     """(cc, group): edge clusters whose density columns lie on the same sides of `rows` random hyperplanes, in some of `bands` bands; see minhash_groups()."""
-    u = lambda i, j: (scrambled(F.col("rc") * (2 * (seed * 1000 + i) + 1), 104729 * (2 * i + j + 1)) + 0.5) / 4294967296.0
-    normal = lambda i: F.sqrt(-2 * F.ln(u(i, 0))) * F.cos(2 * math.pi * u(i, 1))
+    n = rows * bands
+    u = lambda j: (_hashed("rc", seed, n, 2, j) + 0.5) / float(PRIME)
+    normal = F.sqrt(-2 * F.ln(u(0))) * F.cos(2 * math.pi * u(1))
     density = F.col("dnz") / (F.col("nx") * F.col("ny"))
-    sides = [F.signum(F.round(F.sum(density * normal(i)), 9)).cast("int").alias(f"s{i}") for i in range(rows * bands)]
-    parts = [F.concat_ws(",", F.lit(b), *[F.col(f"s{b * rows + i}").cast("string") for i in range(rows)]) for b in range(bands)]
-    return _named(blocks.groupBy("cc").agg(*sides).select("cc", F.array(*parts).alias("sigs")), "cc")
+    each = blocks.withColumn("i", _each(n)).groupBy("cc", "i").agg(F.signum(F.round(F.sum(density * normal), 9)).cast("long").alias("h"))
+    return _named(each, "cc", rows)
 
 
-def _named(sigs: DataFrame, key: str) -> DataFrame:
-    each = sigs.select(key, F.explode("sigs").alias("sig"))
-    return each.join(each.groupBy("sig").agg(F.min(key).alias("least")), "sig").groupBy(key).agg(F.min("least").alias("group"))
+def _named(each: DataFrame, key: str, rows: int) -> DataFrame:
+    """(key, group) of hashes (key, i, h), of which `rows` make a band: the smallest key that shares a whole band."""
+    bands = each.groupBy(key, F.floor(F.col("i") / rows).alias("band")).agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("sig"))
+    bands = cut(bands.select(key, F.xxhash64("band", F.transform("sig", lambda x: x["h"])).alias("sig")))
+    return bands.join(bands.groupBy("sig").agg(F.min(key).alias("least")), "sig").groupBy(key).agg(F.min("least").alias("group"))
 
 
 def storage_block(z: float, size: float) -> float:

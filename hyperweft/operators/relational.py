@@ -109,6 +109,20 @@ def scrambled(key: Column, seed: int = 0) -> Column:
     return ((key + seed) * 2654435761) % 4294967296
 
 
+#: Fixed value: a prime, the range of linear hashes.
+PRIME = 2147483647
+
+
+def linear_terms(n: int) -> tuple[int, int]:
+    """Factor and summand of the nth linear hash."""
+    return n * 2654435761 % (PRIME - 1) + 1, (n * 40503 + 12345) * 69069 % PRIME
+
+
+def linear_hash(key: Column, factor: Column, summand: Column) -> Column:
+    """A whole number below PRIME from an id, that any SQL engine can compute without overflow."""
+    return ((key % PRIME) * factor + summand) % PRIME
+
+
 def nested_sample(inc: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
     """The incidence of the first ceil(fraction * m), at least one, hyperedges of a fixed permutation: a larger fraction holds a smaller one.
 
