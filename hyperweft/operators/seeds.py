@@ -91,6 +91,11 @@ class Nodes:
         for r in found:
             self.known[r["node_id"]] = {w: r[w] for w in WEIGHTS}
             out[r["ask"]] = r["node_id"]
+        for i, a in enumerate(asks):  # a range whose nodes are all held: any other node
+            if out[i] is None and a.gene is None and len(a.held) < self.n:
+                rest = self.stats.filter(~F.col("node_id").isin(list(a.held)))
+                out[i] = rest.agg(F.min_by("node_id", F.xxhash64("node_id", F.lit(a.u)))).first()[0]
+                self.weights((out[i],), a.weight)
         return out
 
     def weights(self, genes: Candidate, weight: str) -> list[float]:
