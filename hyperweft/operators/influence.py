@@ -48,7 +48,10 @@ def contact_process(inc: DataFrame, seeds: DataFrame, sims: int, hops: int, p_mi
     for hop in range(hops):
         now = state.join(live, "sim", "left_semi")
         pick = numbered.select("node_id", "edge_id", "nth", "deg").join(now, "node_id").filter(F.col("nth") == F.floor(uniform(F.col("sim"), F.lit(hop), F.col("node_id"), F.lit(seed)) * F.col("deg")))
-        reached = pick.select("sim", F.col("node_id").alias("from"), "edge_id").join(inc, "edge_id").join(state, ["sim", "node_id"], "left_anti")
+        pick = cut(pick.select("sim", F.col("node_id").alias("from"), "edge_id"))
+        # Picked hyperedges' nodes that may still be infected, once per simulation: only these meet those that pick.
+        left = pick.select("sim", "edge_id").distinct().join(inc, "edge_id").join(state, ["sim", "node_id"], "left_anti")
+        reached = pick.join(left, ["sim", "edge_id"])
         rnd = lambda i: uniform(F.col("sim"), F.lit(hop), F.col("from"), F.col("node_id"), F.lit(seed + i))
         tried = cut(reached.select("sim", "node_id", (rnd(1) <= p_min + (p_max - p_min) * rnd(2)).alias("hit")))
         tries.append(tried.groupBy("sim").agg(F.count(F.lit(1)).alias("n")))
