@@ -1,8 +1,12 @@
 """Work that grows with the input, not with the square of a group."""
 
+import random
 import time
+from collections import deque
 
-from hyperweft.operators import influence
+import numpy as np
+
+from hyperweft.operators import influence, metrics, traverse
 
 
 def test_contact_in_one_large_hyperedge(spark):
@@ -12,3 +16,14 @@ def test_contact_in_one_large_hyperedge(spark):
     got = influence.contact_process(inc, spark.createDataFrame([(0,)], "node_id long"), 5, 5, 1.0, 1.0).collect()
     assert sorted(map(tuple, got)) == [(i, n, n - 1) for i in range(5)]
     assert time.time() - began < 180
+
+
+def test_distances_by_hyperedges(spark):
+    """Both ways to count shared hyperedges agree; members of large hyperedges aren't met in pairs."""
+    rng = random.Random(6)
+    inc = spark.createDataFrame(sorted({(e, rng.randrange(40)) for e in range(12) for _ in range(15)}), "edge_id long, node_id long").cache()
+    rows = lambda x: sorted(map(tuple, x.select("edge_id", "node_id", "dot").collect()))
+    assert rows(metrics._dots_by_edges(inc)) == rows(metrics._dots_by_nodes(inc))
+    large, began = spark.range(40_000).selectExpr("id % 2 as edge_id", "id div 2 as node_id"), time.time()
+    assert metrics.edge_distances(large).filter("q = 20000").count() == 40_000
+    assert time.time() - began < 120
