@@ -27,3 +27,17 @@ def test_distances_by_hyperedges(spark):
     large, began = spark.range(40_000).selectExpr("id % 2 as edge_id", "id div 2 as node_id"), time.time()
     assert metrics.edge_distances(large).filter("q = 20000").count() == 40_000
     assert time.time() - began < 120
+
+
+def test_neighbours_in_blocks(spark):
+    """Nearest points over several blocks, copies by id; 12,000 points take seconds."""
+    x = np.random.default_rng(7).integers(0, 3, (40, 4)).astype(float)
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    d = ((x[:, None] - x) ** 2).sum(axis=2)
+    want = [(i, j, k + 1) for i in range(40) for k, j in enumerate(sorted((j for j in range(40) if j != i), key=lambda j: (d[i, j], j))[:5])]
+    for block in (7, 64):
+        assert sorted((r["vec_id"], r["neighbor_id"], r["rank"]) for r in metrics.knn_hypergraph(points, 5, block).collect()) == sorted(want)
+    many = spark.range(12_000).selectExpr("id as vec_id", "transform(sequence(1, 8), k -> cast(pmod(xxhash64(id, k), 1000) as float)) as embedding")
+    began = time.time()
+    assert metrics.knn_hypergraph(many, 5).count() == 60_000
+    assert time.time() - began < 60
