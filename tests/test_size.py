@@ -41,3 +41,29 @@ def test_neighbours_in_blocks(spark):
     began = time.time()
     assert metrics.knn_hypergraph(many, 5).count() == 60_000
     assert time.time() - began < 60
+
+
+def test_search_in_words(spark, monkeypatch):
+    """130 sources are three words: no table of a search has a row per source and node, and distances are right."""
+    rng, rows, cut = random.Random(5), [], traverse.cut
+    inc = sorted({(e, rng.randrange(200)) for e in range(150) for _ in range(3)})
+
+    def counted(df):
+        df = cut(df)
+        rows.append(df.count())
+        return df
+
+    monkeypatch.setattr(traverse, "cut", counted)
+    got = traverse.bfs(spark.createDataFrame(inc, "edge_id long, node_id long"), spark.range(130).withColumnRenamed("id", "node_id")).collect()
+    beside = {v: {w for e, u in inc if u == v for f, w in inc if f == e} for v in range(200)}
+    want = {}
+    for s in range(130):
+        far, left = {s: 0}, deque([s])
+        while left:
+            v = left.popleft()
+            for w in beside[v] - far.keys():
+                far[w] = far[v] + 1
+                left.append(w)
+        want |= {(s, v): d for v, d in far.items()}
+    assert {(r["src"], r["node"]): r["dist"] for r in got} == want and len(got) == len(want)
+    assert max(rows) <= 3 * 200
