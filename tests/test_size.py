@@ -67,3 +67,12 @@ def test_search_in_words(spark, monkeypatch):
         want |= {(s, v): d for v, d in far.items()}
     assert {(r["src"], r["node"]): r["dist"] for r in got} == want and len(got) == len(want)
     assert max(rows) <= 3 * 200
+
+
+def test_summary_hops_in_chunks(spark, monkeypatch):
+    """Members of a supernode go in chunks, all of them, each once."""
+    monkeypatch.setattr(traverse, "CHUNK", 4)
+    superinc = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (1, 2)], "edge_id long, node_id long")
+    nodes = spark.range(30).selectExpr("id as node_id", "id % 3 as rc")
+    got = sorted(map(tuple, traverse.khop_in_summary(superinc, nodes, nodes.select("node_id"), 1).collect()))
+    assert got == sorted((a, b) for a in range(30) for b in range(30) if abs(a % 3 - b % 3) == 1)
