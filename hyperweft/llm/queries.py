@@ -38,7 +38,8 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(_table(spark, sf_dir, "documents"), percent=80)
+    # The columns of its SQL; the operator has n_links, too.
+    return ngram_join.join(_table(spark, sf_dir, "documents"), percent=80).select("doc_id", "n_shingles", "component_id")
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
