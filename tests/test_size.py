@@ -5,8 +5,9 @@ import time
 from collections import deque
 
 import numpy as np
+import pytest
 
-from hyperweft.operators import influence, metrics, traverse
+from hyperweft.operators import influence, metrics, rank, traverse
 
 
 def test_contact_in_one_large_hyperedge(spark):
@@ -76,3 +77,49 @@ def test_summary_hops_in_chunks(spark, monkeypatch):
     nodes = spark.range(30).selectExpr("id as node_id", "id % 3 as rc")
     got = sorted(map(tuple, traverse.khop_in_summary(superinc, nodes, nodes.select("node_id"), 1).collect()))
     assert got == sorted((a, b) for a in range(30) for b in range(30) if abs(a % 3 - b % 3) == 1)
+
+
+def _diffused(inc, weight, seed, steps, teleport, cutoff, tie):
+    """{node: x} by the definition, a hyperedge at a time."""
+    members = {e: [v for f, v in inc if f == e] for e in weight}
+    wd = {v: sum(weight[e] for e, u in inc if u == v) for _, v in inc}
+    x = {seed: 1.0}
+    for _ in range(steps):
+        moved = {}
+        for e, m in members.items():
+            y = {v: x.get(v, 0) / wd[v] for v in m}
+            hi, lo = max(y.values()), min(y.values())
+            top, low = [v for v in m if y[v] > hi - tie], [v for v in m if y[v] < lo + tie]
+            for v in m:
+                moved[v] = moved.get(v, 0) + weight[e] * (hi - lo) * ((v in top) / len(top) - (v in low) / len(low))
+        new = {v: x.get(v, 0) - (1 - teleport) * moved.get(v, 0) - teleport * (x.get(v, 0) - (v == seed)) for v in moved | x}
+        x = {v: z for v, z in new.items() if z >= cutoff}
+    return x
+
+
+@pytest.mark.parametrize(("few", "blocks"), [(4_000_000, 16), (20, 1000), (5, 1000), (5, 0)])
+def test_diffusion_in_blocks(spark, monkeypatch, few, blocks):
+    """No table of a diffusion has a row per seed, hyperedge and node; values are right by blocks of seeds and by joins, ties near 0 too."""
+    monkeypatch.setattr(rank, "FEW", few, raising=False)
+    monkeypatch.setattr(rank, "BLOCKS", blocks, raising=False)
+    rng, rows = random.Random(11), []
+    inc = sorted({(e, rng.randrange(40)) for e in range(200) for _ in range(5)} | {(200, v) for v in range(60)} | {(201, 70)})
+    weight = {e: 1 + e % 7 for e in range(202)}
+
+    def counted(f):
+        def run(df):
+            df = f(df)
+            rows.append(df.count())
+            return df
+
+        return run
+
+    for name in ("cut", "stored"):
+        monkeypatch.setattr(rank, name, counted(getattr(rank, name, lambda df: df)), raising=False)
+    seeds = [0, 3, 17, 45, 70, 99]
+    table = spark.createDataFrame(inc + inc[:50] * (blocks == 0), "edge_id long, node_id long")
+    weights = spark.createDataFrame([*weight.items(), (300, None)], "edge_id long, weight long")
+    got = rank.diffusions(table, weights, spark.createDataFrame([(s,) for s in seeds], "node_id long"), 3, 0.15, 1e-4, 1e-3).collect()
+    want = {(s, v): x for s in seeds for v, x in _diffused(inc, weight, s, 3, 0.15, 1e-4, 1e-3).items()}
+    assert {(r["seed"], r["node_id"]): r["x"] for r in got} == pytest.approx(want, abs=1e-12) and len(got) == len(want)
+    assert max(rows) <= len(seeds) * 62
