@@ -19,6 +19,8 @@ from .common import written
 SHARD_ROWS = 4096
 LEAF_ROWS = 64
 BLOCK_ROWS = 512
+#: Leaves that queries meet in one product.
+LEAVES = 16
 #: Vectors on which the routing tree is fitted, and the least of them in a leaf of it. All vectors are routed and indexed.
 SAMPLE, ROUTE_ROWS = 20_000, 16
 #: Shards whose centres a task holds at a time.
@@ -89,19 +91,30 @@ def bounds(queries: np.ndarray, centre: np.ndarray, radius: np.ndarray) -> np.nd
 
 
 def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Inner products of whole numbers, exact: as doubles where all are below 2**53, else by integers, those beyond 64 bits as the last ones."""
+    """Inner products of whole numbers, exact: doubles where all are below 2**53, else long doubles by integers, those beyond 64 bits as the last ones."""
     if np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * max(1, queries.shape[1]) < 2**53:
-        return (queries @ vectors.T).astype(np.longdouble)
+        return queries @ vectors.T
     whole = lambda x: np.array([[int(c) for c in row] for row in x], dtype=object).reshape(x.shape)
     return np.clip(whole(queries).dot(whole(vectors).T), -(2**63), 2**63 - 1).astype(object).astype(np.longdouble)
 
 
+def highest(scores: np.ndarray, k: int) -> np.ndarray:
+    """The columns of each row's k highest scores, in no order; ties go to the first columns. There are k columns at least."""
+    least = np.partition(scores, -k, axis=1)[:, -k, None]
+    i, j = np.nonzero(scores >= least)
+    if len(i) > k * len(scores):  # ties for the k-th place
+        above, tied = scores > least, scores == least
+        i, j = np.nonzero(above | tied & (tied.cumsum(axis=1) <= k - above.sum(axis=1, keepdims=True)))
+    return j.reshape(len(scores), k)
+
+
 def search(tree: dict[str, np.ndarray], qids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The k best scores of each query in a shard, with ids (-1: none), by branch and bound.
 
     floor: a score for each query that its k-th best is known to reach. A node's upper bound is q.c + |q| r, or its
-    parent's if that is less; a node whose bound is below the k-th score so far is cut. Leaves are visited for each query
-    by descending bound; queries that are at the same leaf share one product.
+    parent's if that is less; a node whose bound is below the k-th score so far is cut. Leaves are visited once, by
+    descending bound of any query, LEAVES of them in one product with the queries whose bound in one of them still reaches
+    their k-th score; a query meets each leaf once at most.
     """
     n = len(qids)
     bound = np.full((n, len(tree["child"])), -np.inf)
@@ -115,30 +128,25 @@ def search(tree: dict[str, np.ndarray], qids: np.ndarray, queries: np.ndarray, k
         parent = np.repeat(bound[:, level[inner]], 2, axis=1)
         level = np.array([c for i in inner for c in (tree["child"][level[i]], tree["child"][level[i]] + 1)], dtype=int)
     leaves = np.flatnonzero(tree["child"] == 0)
-    bound = bound[:, leaves]
-    order = np.argsort(-bound, axis=1, kind="stable")
+    leaves = leaves[np.argsort(-bound[:, leaves].max(axis=0, initial=-np.inf), kind="stable")]
     best, who = np.full((n, k), -np.inf, dtype=np.longdouble), np.full((n, k), -1, dtype=np.int64)
-    active = np.arange(n)
-    for j in range(len(leaves)):
-        at = order[active, j]
-        going = bound[active, at] >= np.maximum(reach[active], best[active, k - 1])
-        going &= bound[active, at] > -np.inf
-        active, at = active[going], at[going]
-        if not len(active):
-            break
-        by_leaf = np.argsort(at, kind="stable")
-        cuts = np.flatnonzero(np.diff(at[by_leaf])) + 1
-        for some in np.split(by_leaf, cuts):
-            leaf = leaves[at[some[0]]]
-            a, b = tree["first"][leaf], tree["last"][leaf]
-            q = active[some]
-            scores = products(queries[q], tree["vectors"][a:b])
-            ids = tree["ids"][a:b]
-            scores = np.where(ids[None, :] == qids[q][:, None], -np.inf, scores)
-            all_s = np.hstack([best[q], scores])
-            all_i = np.hstack([who[q], np.broadcast_to(ids, scores.shape)])
-            top = np.lexsort((all_i, -all_s), axis=1)[:, :k]
-            best[q], who[q] = np.take_along_axis(all_s, top, 1), np.take_along_axis(all_i, top, 1)
+    for x in range(0, len(leaves), LEAVES):
+        b = bound[:, leaves[x : x + LEAVES]]
+        may = (b >= np.maximum(reach, best[:, k - 1])[:, None]) & (b > -np.inf)
+        q, some = np.flatnonzero(may.any(axis=1)), leaves[x : x + LEAVES][may.any(axis=0)]
+        if not len(q):
+            continue
+        rows = np.concatenate([np.arange(tree["first"][i], tree["last"][i]) for i in some])
+        rows = rows[np.argsort(tree["ids"][rows], kind="stable")]
+        ids, scores = tree["ids"][rows], products(queries[q], tree["vectors"][rows])
+        scores[ids[None, :] == qids[q][:, None]] = -np.inf
+        ids = np.broadcast_to(ids, scores.shape)
+        if len(rows) > k:
+            j = highest(scores, k)
+            scores, ids = np.take_along_axis(scores, j, 1), np.take_along_axis(ids, j, 1)
+        all_s, all_i = np.hstack([best[q], scores]), np.hstack([who[q], ids])
+        top = np.lexsort((all_i, -all_s), axis=1)[:, :k]
+        best[q], who[q] = np.take_along_axis(all_s, top, 1), np.take_along_axis(all_i, top, 1)
     return best, who
 
 
@@ -152,8 +160,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     tables give no rows. Other columns are not read.
 
     A tree of planes, fitted on SAMPLE vectors, routes vectors, so that shards of about SHARD_ROWS of them lie together; a
-    leaf of it that has more is dealt over several. Each shard gets a ball tree, written once, and queries are routed into
-    blocks in the same way. Every block is held against the shards' balls, CHUNK at a time; but only those queries of it go
+    leaf of it that has more is dealt over several. Each shard gets a ball tree, written once, and queries are routed in
+    the same way, into blocks of about BLOCK_ROWS from successive leaves. Every block is held against the shards' balls, CHUNK at a time; but only those queries of it go
     to a shard whose bound there reaches their k-th score so far. That score is shared after each of three rounds: in a
     query's best shard, in the next ones of its NEAREST, and in all others that may still hold one.
     """
@@ -179,19 +187,26 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     some = v.orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).collect()
     router = build(np.arange(len(some)), matrix([x["v"] for x in some]), max(ROUTE_ROWS, len(some) * SHARD_ROWS // max(1, sv["n"]))) if some else None
 
-    def dealt(df: DataFrame, each: int) -> DataFrame:
-        """df with part: a number for about `each` rows that lie together."""
+    def rows_of(column: pa.ListArray) -> np.ndarray:
+        if not column.null_count and (column.value_lengths().to_numpy() == dim).all():
+            return column.flatten().to_numpy().reshape(-1, dim)
+        return matrix(column.to_pylist())
+
+    def dealt(df: DataFrame, each: int, apart: bool) -> DataFrame:
+        """df with part: a number for about `each` rows that lie together; apart: of one leaf of the router, else of successive ones."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                leaf = route(router, matrix(batch.column("v").to_pylist())) if router and batch.num_rows else np.zeros(batch.num_rows, dtype=np.int64)
+                leaf = route(router, rows_of(batch.column("v"))) if router and batch.num_rows else np.zeros(batch.num_rows, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], names=[*batch.schema.names, "leaf"])
 
         routed = written(df.mapInArrow(run, "id long, v array<double>, row long, leaf long"))
-        counts = routed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / each).alias("parts"))  # a row per leaf of the router
-        before = F.sum("parts").over(Window.orderBy("leaf").rowsBetween(Window.unboundedPreceding, 0)) - F.col("parts")
+        size = F.ceil(F.count(F.lit(1)) / each) if apart else F.count(F.lit(1))
+        counts = routed.groupBy("leaf").agg(size.alias("size"))  # a row per leaf of the router
+        before = F.sum("size").over(Window.orderBy("leaf").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
         counts = counts.withColumn("first", before)
-        return routed.join(F.broadcast(counts), "leaf").withColumn("part", F.col("first") + F.pmod(F.xxhash64("row"), F.col("parts")))
+        place = F.col("first") + F.pmod(F.xxhash64("row"), F.col("size"))
+        return routed.join(F.broadcast(counts), "leaf").withColumn("part", place if apart else F.floor(place / each))
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
         t = build(pdf["id"].to_numpy(np.int64), matrix(pdf["v"]))
@@ -204,8 +219,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     def chunk(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "balls": [packed(shard=pdf["shard"].to_numpy(np.int64), centre=matrix(pdf["centre"]), radius=pdf["radius"].to_numpy(float))]})
 
-    trees = written(dealt(v, SHARD_ROWS).groupBy("part").applyInPandas(tree, "shard long, tree binary, centre array<double>, radius double"))
-    blocks = written(dealt(q, BLOCK_ROWS).groupBy("part").applyInPandas(block, "block long, queries binary"))
+    trees = written(dealt(v, SHARD_ROWS, True).groupBy("part").applyInPandas(tree, "shard long, tree binary, centre array<double>, radius double"))
+    blocks = written(dealt(q, BLOCK_ROWS, False).groupBy("part").applyInPandas(block, "block long, queries binary"))
     balls = written(trees.select("shard", "centre", "radius", F.floor(F.col("shard") / CHUNK).alias("chunk")).groupBy("chunk").applyInPandas(chunk, "chunk long, balls binary"))
     chunks = balls.count()
     # The stated queries meet all balls, in blocks and chunks: a chunk is a few numbers for CHUNK * SHARD_ROWS vectors.

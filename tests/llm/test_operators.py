@@ -94,6 +94,22 @@ def test_tree_search_cuts_nothing():
     assert (again == best).all()
 
 
+def test_tree_search_meets_each_leaf_once(monkeypatch):
+    """Where bounds cut nothing, a shard's leaves go into few products, not into one per leaf and step of a query; copies tie by id."""
+    rng = np.random.default_rng(2)
+    v = np.floor(rng.normal(size=(2000, 16)) * 50)
+    v[500:900], v[1000:1003] = v[0], np.full(16, 2.0**27)
+    ids = rng.permutation(2000)
+    tree, held, products = topk.build(ids, v), [], topk.products
+    monkeypatch.setattr(topk, "products", lambda q, x: held.append(len(x)) or products(q, x))
+    best, who = topk.search(tree, ids[:100], v[:100], 5, np.full(100, -np.inf))
+    assert len(held) <= (tree["child"] == 0).sum() and sum(held) <= 2000
+    s = v[:100] @ v.T
+    s[np.arange(100), np.arange(100)] = -np.inf
+    order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :5]
+    assert (who == ids[order]).all() and (best == np.take_along_axis(s, order, 1)).all()
+
+
 def test_sharding(docs, none):
     rows = sharding.shard(docs, 4).collect()
     text = {r["doc_id"]: r["text"] for r in docs.collect()}
