@@ -14,6 +14,13 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
 
+#: On a local file system, Hadoop starts a chmod for each folder, file and checksum file that it makes, each for a moment
+#: a second process of the executor's whole size. Tables between steps have no checksum files (Parquet's pages have sums).
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+#: Rows of a file of a table between steps whose number of rows is known, at least.
+EACH = 25_000
+
 _made: dict[str, SparkSession] = {}
 
 
@@ -46,11 +53,17 @@ def _remove(folder: str) -> None:
         pass
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: cuts lineage, outlives executors."""
+def written(df: DataFrame, rows: int | None = None, each: int = EACH) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: cuts lineage, outlives executors.
+
+    rows: about how many there are or are worked on, if known; they then go into no more files than one for each `each`,
+    so that a small table isn't one of many tiny files.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if rows is not None:
+        df = df.coalesce(parts_for(rows, each))
+    df.write.options(**PLAIN_FILES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -84,13 +84,14 @@ def _plan(measured: DataFrame, weights: tuple[float, ...], share: float, most: i
     sources = targets.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / words)).cast("long"))
     blocked = _blocked(measured.select("key", "place", "size"), sources, seed)
     blocks = blocked.groupBy("key", "block").agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("target").alias("target")).filter("words > 0")
+    n_rows = measured.count()
     wanted = F.round("target").cast("long")
     order = Window.partitionBy("key").orderBy(F.xxhash64("key", "block", F.lit(seed + 2)), "block")
     b = blocks.withColumns({"nth": F.row_number().over(order) - 1, "held": F.count(F.lit(1)).over(Window.partitionBy("key")), "before": F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")})
     b = b.withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(most - 1).cast("long"))))
     start = F.col("round") * F.col("source_size") + F.col("before")
     b = b.withColumns({"at": F.col("round") * F.col("held") + F.col("nth"), "left": wanted - start}).filter("left > 0")
-    drawn = written(b.select("key", "block", "round", "at", F.least("left", "words").alias("taken"), (F.col("left") < F.col("words")).alias("cut")))
+    drawn = written(b.select("key", "block", "round", "at", F.least("left", "words").alias("taken"), (F.col("left") < F.col("words")).alias("cut")), n_rows)
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key")
@@ -106,7 +107,7 @@ def _plan(measured: DataFrame, weights: tuple[float, ...], share: float, most: i
     up = Window.partitionBy("key").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("up_to", F.sum("words").over(up)).filter("up_to > taken")
     rows = rows.groupBy("key", "block").agg(F.min_by(F.struct("place", F.floor((F.col("taken") - F.col("up_to") + F.col("words")) / F.col("n")).alias("words")), "place").alias("last"))
-    return sources, written(plan.join(rows, ["key", "block"], "left"))
+    return sources, written(plan.join(rows, ["key", "block"], "left"), n_rows)
 
 
 def _drawn(measured: DataFrame, sources: DataFrame, plan: DataFrame, seed: int) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import EACH, fresh, written
 
 SHINGLE = 5
 #: Counters of the frequency sketch (a fixed size, whatever the corpus) and those in one chunk of it.
@@ -32,6 +32,8 @@ MOST_MATCHES, VERIFY_COST = 6, 25.0
 ROUNDS, FEW_PAIRS = 3, 4
 #: Members of a home in a block, and distinct tokens that a task holds at once, as blocks are compared.
 BLOCK, COLUMNS = 512, 4096
+#: Rows that a Python worker takes of an Arrow batch at once, and pairs of sets that are compared in a task.
+PIECE, COMPARED = 256, 2000
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -59,6 +61,13 @@ def digest(x: np.ndarray) -> bytes:
     return hashlib.blake2b(x.tobytes(), digest_size=16).digest()
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, PIECE at a time: what a worker makes of them is held for these only."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, PIECE):
+            yield batch.slice(i, PIECE)
+
+
 def needed(n: int, percent: int) -> int:
     """Tokens that a set of n shares at least with one that is similar enough."""
     return -(-percent * n // 100)
@@ -109,13 +118,16 @@ def profile(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, dtype=np.int64)
-        for batch in batches:
-            sets = [shingles(t.as_py()) for t in batch.column(2)]
-            if sets:
-                counts += np.bincount(buckets(np.concatenate(sets)), minlength=COUNTERS)
-            n = len(sets)
+        for batch in pieces(batches):
+            digests, sizes = [], []
+            for t in batch.column(2):
+                x = shingles(t.as_py())
+                np.add.at(counts, buckets(x), 1)
+                digests.append(digest(x))
+                sizes.append(len(x))
+            n = len(sizes)
             none = lambda kind: pa.nulls(n, kind)
-            arrays = [batch.column(0), batch.column(1), pa.array([digest(x) for x in sets], pa.binary()), pa.array([*map(len, sets)], pa.int64())]
+            arrays = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64())]
             yield pa.RecordBatch.from_arrays([*arrays, none(pa.int64()), none(pa.int32()), none(pa.binary())], names=names)
         if counts.any():
             part, chunks = TaskContext.get().partitionId(), [c for c in range(COUNTERS // CHUNK) if counts[c * CHUNK : (c + 1) * CHUNK].any()]
@@ -128,13 +140,13 @@ def profile(docs: DataFrame) -> DataFrame:
     return written(docs.mapInArrow(run, "doc_id long, key binary, digest binary, n long, part long, chunk int, counts binary"))
 
 
-def classes(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+def classes(docs: DataFrame, counts: np.ndarray, percent: int, n_docs: int) -> DataFrame:
     """A row per distinct non-empty set: cid, rep (smallest doc_id), digest, n, matches, score, tokens (prefix, in order)."""
     sc = docs.sparkSession.sparkContext
     sketch, noise = sc.broadcast(counts.astype(np.int32 if counts.max(initial=0) < 2**31 else np.int64)), float(np.median(counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if len(x := shingles(t.as_py())):
@@ -146,10 +158,10 @@ def classes(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
 
     rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, n long, matches int, score double, tokens array<long>")
     rows = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "matches", "score", "tokens")])
-    return written(rows.select(F.monotonically_increasing_id().alias("cid"), "rep", "digest", "n", "matches", "score", "tokens"))
+    return written(rows.select(F.monotonically_increasing_id().alias("cid"), "rep", "digest", "n", "matches", "score", "tokens"), n_docs)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, known: DataFrame, percent: int, differences: bool = False) -> DataFrame:
+def verify(pairs: DataFrame, n_pairs: int, docs: DataFrame, known: DataFrame, percent: int, differences: bool = False) -> DataFrame:
     """Of pairs (a, b, room) of cids those whose slack, by their whole sets, is -room at least: a, b, slack, size_a, size_b, shared, x.
 
     The slack of two sets is (100 + percent) * shared - percent * (size_a + size_b): they are similar if it isn't below 0.
@@ -161,11 +173,11 @@ def verify(pairs: DataFrame, docs: DataFrame, known: DataFrame, percent: int, di
     of = lambda side: degree.select(F.col("cid").alias(side), F.col("deg").alias(f"deg_{side}"))
     turned = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("turn", (F.col("deg_a") > F.col("deg_b")) | ((F.col("deg_a") == F.col("deg_b")) & (F.col("a") > F.col("b"))))
     turned = turned.select(F.when(F.col("turn"), F.col("a")).otherwise(F.col("b")).alias("lead"), F.when(F.col("turn"), F.col("b")).otherwise(F.col("a")).alias("cid"), "turn", "room")
-    turned = written(turned)
+    turned = written(turned, n_pairs)
     many = turned.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("salts"))
     wanted = turned.join(many, "lead").select("lead", F.pmod(F.xxhash64("cid"), F.col("salts")).alias("salt"), "cid", "turn", "room", F.lit(None).cast("long").alias("salts"))
     wanted = wanted.union(many.select("lead", F.lit(0).cast("long").alias("salt"), F.col("lead").alias("cid"), F.lit(False).alias("turn"), F.lit(0).cast("long").alias("room"), "salts"))
-    concerned = written(wanted.join(known.select("cid", "rep", "digest"), "cid"))
+    concerned = written(wanted.join(known.select("cid", "rep", "digest"), "cid"), 2 * n_pairs)
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +198,7 @@ def verify(pairs: DataFrame, docs: DataFrame, known: DataFrame, percent: int, di
     held = docs.sparkSession.sparkContext.broadcast(mask)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             s = batch.column(0).to_numpy()
             take = np.flatnonzero(held.value[s >> 3] >> (7 - (s & 7)) & 1)
             found = [t for i in take if (t := batch.column(1)[int(i)].as_py())]
@@ -202,7 +214,7 @@ def verify(pairs: DataFrame, docs: DataFrame, known: DataFrame, percent: int, di
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = np.empty(0, dtype=np.uint64)  # the set of the part at hand; its row comes first
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for lead, first, cid, text, turn, room in zip(*[batch.column(i).to_pylist() for i in (0, 2, 3)], batch.column(4), *[batch.column(i).to_pylist() for i in (5, 6)], strict=True):
                 x = shingles(zlib.decompress(text.as_py()).decode())
@@ -217,13 +229,13 @@ def verify(pairs: DataFrame, docs: DataFrame, known: DataFrame, percent: int, di
             columns = zip(*out, strict=True) if out else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["a", "b", "slack", "size_a", "size_b", "shared", "x"])
 
-    return written(met.mapInArrow(compared, "a long, b long, slack long, size_a long, size_b long, shared long, x array<long>"))
+    return written(met.mapInArrow(compared, "a long, b long, slack long, size_a long, size_b long, shared long, x array<long>"), n_pairs, COMPARED)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) of all nodes of links (a, b): root is the component's smallest node. Alternating large and small stars, until nothing changes."""
+def components(links: DataFrame, n_links: int | None = None) -> DataFrame:
+    """(node, root) of all nodes of links (a, b), n_links if known: root is the component's smallest node. Alternating large and small stars, until nothing changes."""
     low, high = F.least("a", "b"), F.greatest("a", "b")
-    e = written(links.select(high.alias("a"), low.alias("b")).filter("a <> b").distinct())
+    e = written(links.select(high.alias("a"), low.alias("b")).filter("a <> b").distinct(), n_links)
     seen = None
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -232,7 +244,7 @@ def components(links: DataFrame) -> DataFrame:
         mins = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(mins, "a")
         small = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(mins.select("a", F.col("m").alias("b"))).distinct()
-        e = written(small)
+        e = written(small, n_links)
         # Two 64-bit sums of hashes tell whether anything changed.
         mark = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
         if mark == seen:
@@ -241,7 +253,7 @@ def components(links: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def homes(postings: DataFrame, docs: DataFrame, known: DataFrame, percent: int, differences: bool) -> DataFrame | None:
+def homes(postings: DataFrame, n_postings: int, docs: DataFrame, known: DataFrame, percent: int, differences: bool) -> DataFrame | None:
     """Members (cid, home, w, v, x): classes that are similar to one other, their home, which is no member itself. None: none.
 
     Near copies so become one item for all that follows. Each class is compared with one lead of its tokens: at first the
@@ -256,7 +268,7 @@ def homes(postings: DataFrame, docs: DataFrame, known: DataFrame, percent: int,
         if found is not None:
             if 2 * hits < tries:  # what is left has none
                 break
-            here = written(here.join(found.select("cid"), "cid", "left_anti"))
+            here = written(here.join(found.select("cid"), "cid", "left_anti"), n_postings, 8 * EACH)
             n = here.groupBy("token").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()
             if (n["pairs"] or 0) <= FEW_PAIRS * (n["rows"] or 0):
                 break
@@ -266,20 +278,20 @@ def homes(postings: DataFrame, docs: DataFrame, known: DataFrame, percent: int,
         if found is not None:  # a home stays one
             tried = tried.join(found.select(F.col("home").alias("cid")).distinct(), "cid", "left_anti")
         tried = tried.groupBy("cid", "lead").agg(F.count(F.lit(1)).alias("n")).groupBy("cid").agg(F.max(F.struct("n", "lead")).alias("x"))
-        tried = written(tried.select(F.col("cid").alias("a"), F.col("x.lead").alias("b"), F.lit(0).cast("long").alias("room")))
+        tried = written(tried.select(F.col("cid").alias("a"), F.col("x.lead").alias("b"), F.lit(0).cast("long").alias("room")), n_postings, 8 * EACH)
         if not (tries := tried.count()):
             break
-        links = verify(tried, docs, known, percent, differences)
+        links = verify(tried, tries, docs, known, percent, differences)
         hits = links.count()
         links = links.join(links.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
         d, e = F.col("size_b") - F.col("shared"), F.col("size_a") - F.col("shared")
         links = links.select(F.col("a").alias("cid"), F.col("b").alias("home"), (100 * d + percent * e).alias("w"), (percent * d + 100 * e).alias("v"), "x")
         found = links if found is None else found.union(links)
-        found = written(found)
+        found = written(found, tries)
     return found
 
 
-def home_pairs(postings: DataFrame, members: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+def home_pairs(postings: DataFrame, n_postings: int, members: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, room) of homes whose members' prefixes share enough tokens that some of them may be similar.
 
     A token has one posting for each home, with bounds over its members there: their sizes, matches, tokens from this one
@@ -290,7 +302,7 @@ def home_pairs(postings: DataFrame, members: DataFrame, known: DataFrame, percen
     at = postings.join(members.select("cid", "home", "v"), "cid")
     at = at.groupBy("token", "home").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.min("matches").alias("m"), F.max("matches").alias("ms"), F.max(F.col("n") - F.col("place")).alias("after"), F.max("v").alias("v"))
     met = at.groupBy("token").agg(F.count(F.lit(1)).alias("homes")).filter("homes > 1").select("token")
-    at = written(at.join(met, "token"))
+    at = written(at.join(met, "token"), n_postings, 8 * EACH)
     one, two = (at.select("token", *[F.col(c).alias(f"{c}_{s}") for c in at.columns if c != "token"]) for s in "ab")
     both = lambda f, c: f(f"{c}_a", f"{c}_b")
     need = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
@@ -299,7 +311,7 @@ def home_pairs(postings: DataFrame, members: DataFrame, known: DataFrame, percen
     pairs = pairs.agg(F.count(F.lit(1)).alias("shared"), F.min(both(F.least, "m")).alias("least"), F.max(F.col("v_a") + F.col("v_b")).alias("room"))
     pairs = pairs.filter("shared >= least").select("a", "b", "room")
     of = lambda s: known.select(F.col("cid").alias(s), F.col("n").alias(f"n_{s}"), F.col("tokens").alias(f"tokens_{s}"))
-    return written(pairs.join(of("a"), "a").join(of("b"), "b").filter((F.col("room") > 0) | _enough(percent)).select("a", "b", "room"))
+    return written(pairs.join(of("a"), "a").join(of("b"), "b").filter((F.col("room") > 0) | _enough(percent)).select("a", "b", "room"), n_postings)
 
 
 def _enough(percent: int) -> Column:
@@ -316,21 +328,23 @@ def link(docs: DataFrame, percent: int = 80, every: bool = False) -> DataFrame:
     profiled = profile(docs.select("doc_id", "key", "text"))
     rows = profiled.filter("part is null").select("doc_id", "key", "digest", "n")
     counts = _sums(profiled.filter("part is not null").select("part", "chunk", "counts"))
-    known = classes(docs, counts, percent)
+    known = classes(docs, counts, percent, rows.count())
+    n, p = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
 
     # Tokens of one class only link nothing.
     postings = known.select("cid", "score", "n", "matches", F.size("tokens").alias("p"), F.posexplode("tokens").alias("place", "token"))
     met = postings.groupBy("token").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("token")
-    postings = written(postings.join(met, "token"))
-    found = homes(postings, docs, known, percent, every)
+    postings = written(postings.join(met, "token"), p, 8 * EACH)
+    p = postings.count()
+    found = homes(postings, p, docs, known, percent, every)
     alone = known.select("cid")
     if found is not None:
         alone = alone.join(found.select("cid"), "cid", "left_anti")
     alone = alone.select("cid", F.col("cid").alias("home"), F.lit(0).cast("long").alias("w"), F.lit(0).cast("long").alias("v"))
-    members = written(alone if found is None else alone.union(found.select("cid", "home", "w", "v")))
+    members = written(alone if found is None else alone.union(found.select("cid", "home", "w", "v")), n)
 
-    pairs = home_pairs(postings, members, known, percent)
-    near = verify(pairs, docs, known, percent) if not pairs.isEmpty() else None
+    pairs = home_pairs(postings, p, members, known, percent)
+    near = verify(pairs, n_pairs, docs, known, percent) if (n_pairs := pairs.count()) else None
     joined = [] if found is None else [found.select(F.col("cid").alias("a"), F.col("home").alias("b"))]
     links = None  # of members of different homes, beside those that the homes' slack makes sure
     if near is not None:
@@ -339,7 +353,7 @@ def link(docs: DataFrame, percent: int = 80, every: bool = False) -> DataFrame:
         if not every and (roots := _roots(joined)) is not None:
             of = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
             open_ = open_.join(of("a"), "a", "left").join(of("b"), "b", "left").filter("not (root_a <=> root_b) or root_a is null")
-        open_ = written(open_.withColumn("room", F.greatest(-F.col("slack"), F.lit(0))))
+        open_ = written(open_.withColumn("room", F.greatest(-F.col("slack"), F.lit(0))), n_pairs)
         here = open_.select(F.explode(F.array("a", "b")).alias("home")).distinct()
         sized = members.join(here, "home", "left_semi").join(known.select("cid", "n", "tokens"), "cid").withColumnRenamed("cid", "c")
         of = lambda s: sized.select(F.col("home").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("c", "w", "v", "n", "tokens")])
@@ -347,8 +361,8 @@ def link(docs: DataFrame, percent: int = 80, every: bool = False) -> DataFrame:
         unsure = open_.join(of("a"), "a").join(of("b"), "b").filter(unsure & _enough(percent))
         unsure = unsure.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"), F.lit(0).cast("long").alias("room"))
         unsure = written(unsure)
-        if not unsure.isEmpty():
-            links = verify(unsure, docs, known, percent)
+        if n_unsure := unsure.count():
+            links = verify(unsure, n_unsure, docs, known, percent)
             joined.append(links.select("a", "b"))
     roots = _roots(joined)
 
@@ -437,8 +451,8 @@ def _roots(links: list[DataFrame]) -> DataFrame | None:
     """(node, root) of all nodes of the tables (a, b) of links; None if there are none."""
     if not links:
         return None
-    every = written(reduce(DataFrame.union, links))
-    return written(components(every)) if not every.isEmpty() else None
+    n = sum(x.count() for x in links)
+    return written(components(reduce(DataFrame.union, links), n), 2 * n) if n else None
 
 
 def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:

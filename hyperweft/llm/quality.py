@@ -120,9 +120,10 @@ def fit(counted: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float
     for them that isn't kept. A null language is a stratum as any other.
     All labels are used; repeated labels of a doc_id count once, as the lowest, and null ones not at all.
     """
+    n_docs = counted.count()
     quality = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("good"))
     known = counted.filter(~base_failed()).select("doc_id", stratum(F.col("lang")).alias("stratum"), scores().alias("scores")).join(quality, "doc_id")
-    known = written(known.select("stratum", "scores", (F.col("good") == 1).alias("good"), (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2)) == 0).alias("tune")))
+    known = written(known.select("stratum", "scores", (F.col("good") == 1).alias("good"), (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2)) == 0).alias("tune")), n_docs)
     # How many strata can pass among themselves: the more there are, the more good documents each test needs.
     tests = known.filter("good and not tune").groupBy("stratum").agg(F.count(F.lit(1)).alias("tests"))
     able = tests.withColumn("nth", F.row_number().over(Window.orderBy(F.desc("tests"), "stratum"))).filter(F.col("tests") * _ln(1 - alpha) <= F.log(delta / F.col("nth")))
@@ -139,7 +140,7 @@ def fit(counted: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float
     c = c.agg(F.min_by(F.struct("score", (F.col("bad_all") - F.col("bad_kept") - 10 * (F.col("good_all") - F.col("good_kept"))).alias("gain")), "score").alias("c")).filter("c.gain > 0")
     vectors = c.groupBy("stratum", "q").agg(F.map_from_entries(F.collect_list(F.struct("rule", "c.score"))).alias("by_rule"))
     vectors = vectors.select("stratum", F.struct("q", F.array(*[F.element_at("by_rule", F.lit(i)) for i in range(len(RULES))]).alias("cutoffs")).alias("v"))
-    vectors = written(vectors.groupBy("stratum").agg(F.sort_array(F.collect_list("v")).alias("vectors")))
+    vectors = written(vectors.groupBy("stratum").agg(F.sort_array(F.collect_list("v")).alias("vectors")), n_docs)
     judged = known.join(vectors, "stratum").select("stratum", "good", "tune", F.explode("vectors").alias("v"), "scores")
     judged = judged.withColumn("hit", rejects(F.col("scores"), F.col("v.cutoffs")))
     judged = judged.groupBy("stratum", "v").agg(F.count_if(F.expr("good and not tune")).alias("n"), F.count_if(F.expr("hit and good and not tune")).alias("k"), F.count_if(F.expr("hit and tune and not good")).alias("bad"), F.count_if(F.expr("hit and tune and good")).alias("good"))
@@ -147,7 +148,7 @@ def fit(counted: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float
     passed = F.when(k < n * alpha, log_binomial_cdf(k, n, alpha) <= _ln(delta / max(1, strata or 0))).otherwise(False)
     in_order = Window.partitionBy("stratum").orderBy("v.q").rowsBetween(Window.unboundedPreceding, 0)
     judged = judged.withColumn("passed", F.min(passed).over(in_order)).filter("passed")
-    return written(judged.groupBy("stratum").agg(F.max_by("v.cutoffs", F.struct(F.col("bad") - 10 * F.col("good"), -F.col("v.q"))).alias("cutoffs")))
+    return written(judged.groupBy("stratum").agg(F.max_by("v.cutoffs", F.struct(F.col("bad") - 10 * F.col("good"), -F.col("v.q"))).alias("cutoffs")), n_docs)
 
 
 def rejects(found: Column, cutoffs: Column) -> Column:

@@ -6,12 +6,14 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from hyperweft.llm import html_extract, mixing, ngram_join, packing, quality, queries, secret_scan, sharding, topk, url_rules, warc
+from hyperweft.llm import common, html_extract, mixing, ngram_join, packing, quality, queries, secret_scan, sharding, topk, url_rules, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, key string"
@@ -443,6 +445,39 @@ def test_all_links_are_found(spark):
     assert len({n for n in links.values()}) > 3
 
 
+def test_tables_between_steps_have_few_files(spark):
+    """A small table of many partitions is one file, one of unknown size a file each; none has a checksum file, for which Hadoop starts processes."""
+    many = spark.range(0, 1000, 1, 40)
+    for df, files in ((common.written(many, 1000), 1), (common.written(many, 1000, 300), 4), (common.written(many, 10**9), 40), (common.written(many), 40)):
+        folder = Path(df.inputFiles()[0].removeprefix("file:")).parent
+        assert len(df.inputFiles()) == files and not [*folder.glob("**/.*.crc")] and {r["id"] for r in df.collect()} == {*range(1000)} and df.count() == 1000
+
+
+def test_join_writes_few_files(spark, monkeypatch):
+    """However many partitions a shuffle has, a small corpus' tables go into few files."""
+    files, put = [], ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda *a: files.append(len((out := put(*a)).inputFiles())) or out)
+    conf = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    rows = [(i, " ".join(f"w{i % 40} {j}" for j in range(30 + i // 40))) for i in range(200)]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    sets, home = brute_components(rows)
+    assert sorted(r["doc_id"] for r in got) == sorted(i for i in sets if home[i] == i)
+    assert len(files) > 8 and sum(files) <= 4 * len(files)
+
+
+def test_workers_take_pieces_of_batches():
+    batch = pa.RecordBatch.from_pydict({"i": [*range(1000)]})
+    got = [*ngram_join.pieces(iter([batch, batch.slice(0, 0), batch.slice(0, 1)]))]
+    assert [x for b in got for x in b.column(0).to_pylist()] == [*range(1000), 0] and max(b.num_rows for b in got) == ngram_join.PIECE
+
+
 def test_prefixes_share_matches():
     """Of similar sets, the prefixes share at least the lesser number of matches, and the bound on the overlap holds."""
     rng = np.random.default_rng(4)
