@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from hyperweft.operators import influence, metrics, rank, traverse
+from hyperweft.plans import queries
 
 
 def test_contact_in_one_large_hyperedge(spark):
@@ -70,6 +71,51 @@ def test_search_in_words(spark, monkeypatch):
     assert max(rows) <= 3 * 200
 
 
+@pytest.fixture(scope="module")
+def apart(spark):
+    """Ten components of 4 to 6 nodes and one of 90, which are two words, as incidence and as all distances."""
+    rng = random.Random(8)
+    rows = {(1000 * c + e, 1000 * c + v) for c in range(10) for e, v in [(i, i + j) for i in range(3 + c % 3) for j in (0, 1)]}
+    rows |= {(20_000 + i, 20_000 + v) for i in range(90) for v in (i, (i + 1) % 90, rng.randrange(90))} | {(20_500, 20_000)}
+    dist = {}
+    nodes_of, edges_of = {}, {}
+    for e, v in rows:
+        nodes_of.setdefault(e, set()).add(v)
+        edges_of.setdefault(v, set()).add(e)
+    for s in edges_of:
+        far, left = {s: 0}, deque([s])
+        while left:
+            v = left.popleft()
+            for w in set().union(*(nodes_of[e] for e in edges_of[v])) - far.keys():
+                far[w] = far[v] + 1
+                left.append(w)
+        dist |= {(s, v): d for v, d in far.items()}
+    return spark.createDataFrame(sorted(rows), "edge_id long, node_id long").cache(), dist
+
+
+#: Several parts, rows and steps; the largest component joined instead.
+WAYS = [{"SMALL": 9, "STEP": 7, "WORDS": 1}, {"HELD": 100}]
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_closeness_of_all(spark, monkeypatch, apart, way):
+    for name, value in way.items():
+        monkeypatch.setattr(traverse, name, value)
+    inc, dist = apart
+    got = {r["node_id"]: (r["dist_sum"], r["reached"], r["closeness"]) for r in traverse.closeness_of_all(inc, 500).collect()}
+    sums = {s: [d for (t, _), d in dist.items() if t == s] for s, _ in dist}
+    assert got == {s: (sum(d), len(d) - 1, pytest.approx(499 / sum(d), abs=1e-6)) for s, d in sums.items()}
+
+
+def test_closeness_query_of_all_nodes(spark):
+    """The query returns every part that an order has, not a sample of them."""
+    folder = "/root/testdata/sf0.001"
+    parts = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_partkey").distinct().count()
+    got = queries.QUERIES["closeness"](spark, folder)
+    assert parts > 100 and got.count() == parts
+    assert "limit" not in queries.SQL["closeness"]
+
+
 def test_summary_hops_in_chunks(spark, monkeypatch):
     """Members of a supernode go in chunks, all of them, each once."""
     monkeypatch.setattr(traverse, "CHUNK", 4)
