@@ -116,6 +116,21 @@ def test_closeness_query_of_all_nodes(spark):
     assert "limit" not in queries.SQL["closeness"]
 
 
+def test_khop_of_all(spark, monkeypatch, apart):
+    """Pairs within two hops, over several parts, rows and steps."""
+    for name, value in WAYS[0].items():
+        monkeypatch.setattr(traverse, name, value)
+    inc, dist = apart
+    assert sorted(map(tuple, traverse.khop_of_all(inc, 2).collect())) == sorted(p for p, d in dist.items() if 1 <= d <= 2)
+
+
+def test_khop_query_of_all_nodes(spark):
+    """Every part is a source, not a sample of them."""
+    parts = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_partkey").distinct().count()
+    assert parts > 100 and queries.QUERIES["khop_4"](spark, "/root/testdata/sf0.001").select("src").distinct().count() == parts
+    assert "limit" not in queries.SQL["khop_4"]
+
+
 def test_summary_hops_in_chunks(spark, monkeypatch):
     """Members of a supernode go in chunks, all of them, each once."""
     monkeypatch.setattr(traverse, "CHUNK", 4)
