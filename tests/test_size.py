@@ -7,7 +7,7 @@ from collections import deque
 import numpy as np
 import pytest
 
-from hyperweft.operators import influence, metrics, rank, traverse
+from hyperweft.operators import cocluster, influence, metrics, rank, traverse
 from hyperweft.plans import queries
 
 
@@ -31,6 +31,31 @@ def test_distances_by_hyperedges(spark):
     assert time.time() - began < 120
 
 
+def test_distances_by_matrix(spark, monkeypatch):
+    """With few hyperedges, no join has a row per pair of a node's hyperedges, and distances are the same."""
+    rng = random.Random(9)
+    inc = spark.createDataFrame(sorted({(7 * e, rng.randrange(60)) for e in range(12) for _ in range(40)}), "edge_id long, node_id long").cache()
+    want = sorted(map(tuple, metrics._dots_by_edges(inc).select("edge_id", "node_id", "dot").collect()))
+    monkeypatch.setattr(metrics, "_dots_by_edges", None)
+    monkeypatch.setattr(metrics, "_dots_by_nodes", None)
+    assert metrics.edge_distances(inc).count() == inc.count()
+    assert sorted(map(tuple, metrics._dots_by_matrix(inc).select("edge_id", "node_id", "dot").collect())) == want
+
+
+@pytest.mark.parametrize("n", [40, 400])
+def test_left_vectors(spark, n):
+    """Singular vectors of a symmetric matrix, one value negative, with an empty row: by blocks and restarts as by a dense solver."""
+    rng = np.random.default_rng(3)
+    u = np.linalg.qr(rng.standard_normal((n, 3)))[0]
+    a = (u * [90, -70, 50]) @ u.T + np.where(rng.random((n, n)) < 0.05, rng.random((n, n)), 0)
+    a = (a + a.T) / 2
+    a[5] = a[:, 5] = 0
+    rows = [(i, np.flatnonzero(a[i]).tolist(), a[i][a[i] != 0].tolist()) for i in range(n) if i != 5]
+    got = cocluster.left_vectors(spark.createDataFrame(rows, "place long, at array<long>, x array<double>"), n, 3, tolerance=1e-9)
+    want = np.linalg.svd(a)[0][:, :3]
+    assert np.abs((got * want).sum(axis=0)) == pytest.approx(np.ones(3), abs=1e-6) and (got[5] == 0).all()
+
+
 def test_neighbours_in_blocks(spark):
     """Nearest points over several blocks, copies by id; 12,000 points take seconds."""
     x = np.random.default_rng(7).integers(0, 3, (40, 4)).astype(float)
